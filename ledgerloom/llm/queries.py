@@ -34,7 +34,7 @@ ORACLE_SQL = {
         WITH lines AS (
             SELECT doc_id, pos, trim(line) AS line, raw FROM (
                 SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth, len(list_filter(string_split(line, ' '), w -> w <> '')) AS words FROM lines)
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS words FROM lines)
         SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE nth = 1 OR words < {linededup.MIN_WORDS}), '') AS text,
             count(*) AS n_lines, count(*) FILTER (WHERE nth > 1 AND words >= {linededup.MIN_WORDS}) AS n_removed
         FROM ranked GROUP BY doc_id""",
