@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import text_queries  # noqa: F401
+from . import money_queries, text_queries, vector_queries  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

@@ -39,7 +39,7 @@ def sentences_of(docs: DataFrame) -> DataFrame:
 WORD = "([A-Za-z0-9_À-ɏ؀-ۿ]+)"
 WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{WORD}', 1)"
 SENTENCES = r"""sent AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk FROM (SELECT doc_id,
-    list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?:;\n])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x)), x -> x <> '') AS l FROM documents))"""
+    list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?:;\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))"""
 ACCENTS = f"'{tx._ACCENTED}', '{tx._PLAIN}'"
 NORMAL = f"upper(trim(regexp_replace(translate(coalesce(text, ''), {ACCENTS}), '[^A-Za-z0-9]+', ' ', 'g')))"
 

@@ -23,9 +23,9 @@ def classify_scores(spark, d):
 
 
 _DECIDED = f"""WITH {_HITS}, top AS (SELECT doc_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b, max(CASE WHEN rank = 1 THEN doc_type END) AS t FROM ranks GROUP BY 1),
-    both AS (SELECT d.doc_id, coalesce(a, 0) AS top_score, coalesce(b, 0) AS second_score, t FROM documents d LEFT JOIN top USING (doc_id)),
+    paired AS (SELECT d.doc_id, coalesce(a, 0) AS top_score, coalesce(b, 0) AS second_score, t FROM documents d LEFT JOIN top USING (doc_id)),
     decided AS (SELECT doc_id, CASE WHEN top_score > 0 THEN t ELSE 'UNCLASSIFIED' END AS doc_type, CASE WHEN top_score > 0 AND top_score >= 6 AND top_score - second_score >= 3 THEN 'OK' ELSE 'REVIEW' END AS status,
-        top_score, second_score, top_score - second_score AS margin FROM both)"""
+        top_score, second_score, top_score - second_score AS margin FROM paired)"""
 
 
 @query("classify_documents", f"{_DECIDED} SELECT * FROM decided")
@@ -39,7 +39,7 @@ def classify_audit(spark, d):
     return classify.audit(pages_of(table(spark, d, "documents")))
 
 
-@query("join_classification", f"{_DECIDED} SELECT source, doc_type, status, count(*) AS documents, sum(n_chars) AS chars FROM documents JOIN decided USING (doc_id) GROUP BY ALL")
+@query("join_classification", f"{_DECIDED} SELECT source, doc_type, status, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN decided USING (doc_id) GROUP BY ALL")
 def join_classification(spark, d):
     docs = table(spark, d, "documents")
     found = classify.decisions(docs, classify.scores(pages_of(docs)))
@@ -48,7 +48,7 @@ def join_classification(spark, d):
 
 
 def _hint(lang: str, text: str) -> str:
-    return f"len(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '([a-zà-ÿ]+)', 1), w -> w IN ({in_list(tx.HINTS[lang])})))"
+    return f"len(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '([a-zà-ÿ]+)', 1), lambda w: w IN ({in_list(tx.HINTS[lang])})))"
 
 
 def _accent(text: str) -> str:
@@ -97,7 +97,7 @@ def informative_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", found.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size(F.filter("w", tx.is_informative)).alias("informative"), F.size(F.filter("w", tx.is_topic_candidate)).alias("candidates"))
 
 
-@query("bigrams", f"""WITH w AS (SELECT doc_id, list_filter({WORDS}, t -> {INFORMATIVE}) AS l FROM documents), p AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), z -> z[1] || ' ' || z[2])) AS term FROM w WHERE len(l) > 1)
+@query("bigrams", f"""WITH w AS (SELECT doc_id, list_filter({WORDS}, lambda t: {INFORMATIVE}) AS l FROM documents), p AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) AS term FROM w WHERE len(l) > 1)
     SELECT term, count(*) AS n FROM p GROUP BY 1""")
 def bigrams(spark, d):
     kept = F.filter(tx.words(F.col("text")), tx.is_informative)
@@ -105,7 +105,7 @@ def bigrams(spark, d):
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("char_ngrams", """WITH w AS (SELECT DISTINCT '<' || c_mktsegment || '>' AS m FROM customer WHERE c_mktsegment IS NOT NULL), g AS (SELECT m, n, unnest(list_transform(generate_series(1, length(m) - n + 1), i -> substr(m, i, n))) AS gram FROM w, (VALUES (3), (4), (5)) AS s(n) WHERE length(m) >= n)
+@query("char_ngrams", """WITH w AS (SELECT DISTINCT '<' || c_mktsegment || '>' AS m FROM customer WHERE c_mktsegment IS NOT NULL), g AS (SELECT m, n, unnest(list_transform(generate_series(1, length(m) - n + 1), lambda i: substr(m, i, n))) AS gram FROM w, (VALUES (3), (4), (5)) AS s(n) WHERE length(m) >= n)
     SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def char_ngrams(spark, d):
     names = table(spark, d, "customer").select("c_mktsegment").dropna().distinct()
@@ -122,9 +122,9 @@ def excerpts(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clipped(F.col("text")).alias("excerpt"), tx.clipped(F.col("text"), 400).alias("preview"))
 
 
-_EMAIL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1), e -> lower(regexp_replace(e, '\.+$', ''))))"
-_URL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '((?:https?://|www\.)[^\s<>\"'')\]]+)', 1), e -> lower(regexp_replace(e, '[.,;:]+$', ''))))"
-_PHONE = r"list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '([+]?[0-9][0-9 .()/\-]*[0-9])', 1), r -> length(regexp_replace(r, '[^0-9]', '', 'g')) BETWEEN 10 AND 15), r -> CASE WHEN r[1] = '+' THEN '+' ELSE '' END || regexp_replace(r, '[^0-9]', '', 'g')))"
+_EMAIL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1), lambda e: lower(regexp_replace(e, '\.+$', ''))))"
+_URL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '((?:https?://|www\.)[^\s<>\"'')\]]+)', 1), lambda e: lower(regexp_replace(e, '[.,;:]+$', ''))))"
+_PHONE = r"list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '([+]?[0-9][0-9 .()/\-]*[0-9])', 1), lambda r: length(regexp_replace(r, '[^0-9]', '', 'g')) BETWEEN 10 AND 15), lambda r: CASE WHEN r[1] = '+' THEN '+' ELSE '' END || regexp_replace(r, '[^0-9]', '', 'g')))"
 
 
 @query("detect_contacts", f"SELECT doc_id, list_sort({_EMAIL}) AS emails, list_sort({_URL}) AS urls, list_sort({_PHONE}) AS phones FROM documents")
@@ -182,8 +182,8 @@ def bm25_summary(spark, d):
     return ranking.bm25_summary(chunks, _first_sentence_terms(chunks)).withColumns({c: F.round(c, 6) for c in ("best_score", "avg_top3_score")})
 
 
-_TERMS = f"""{SENTENCES}, k AS (SELECT doc_id, chunk, list_filter({WORDS}, t -> {CANDIDATE}) AS l FROM sent),
-    o AS (SELECT doc_id, chunk, unnest(l) AS term FROM k UNION ALL SELECT doc_id, chunk, unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), z -> z[1] || ' ' || z[2])) FROM k WHERE len(l) > 1),
+_TERMS = f"""{SENTENCES}, k AS (SELECT doc_id, chunk, list_filter({WORDS}, lambda t: {CANDIDATE}) AS l FROM sent),
+    o AS (SELECT doc_id, chunk, unnest(l) AS term FROM k UNION ALL SELECT doc_id, chunk, unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) FROM k WHERE len(l) > 1),
     c AS (SELECT doc_id, count(*) AS c FROM sent GROUP BY 1), by_chunk AS (SELECT doc_id, chunk, term, count(*) AS tf FROM o GROUP BY ALL)"""
 _QUALITY = "CASE WHEN length(term) > 42 THEN 0.7 WHEN contains(term, ' ') THEN 1.2 ELSE 1.0 END"
 _TOPICS = f"""{_TERMS}, dt AS (SELECT doc_id, term, sum(tf) AS tf, count(*) AS df FROM by_chunk GROUP BY ALL),
@@ -211,12 +211,13 @@ def chunk_topics(spark, d):
     return ranking.chunk_topics(sentences_of(table(spark, d, "documents"))).select("doc_id", "chunk", "term", "score", "rank")
 
 
-_BENCH = SENTENCES.replace("documents", "bench_docs").replace("doc_id,", "doc_id,", 1)
-_ITEMS = f"WITH bench_docs AS (SELECT item_id AS doc_id, text FROM benchmark), {_PRUNED.replace('documents', 'bench_docs')}"
+_ITEMS = f"WITH talks AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1), {_PRUNED.replace('documents', 'talks')}"
 
 
 def _item_topics(spark, d):
-    items = sentences_of(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    turns = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text")))), lambda s: s["text"])
+    talks = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns, "\n").alias("text"))
+    items = sentences_of(talks)
     return items, ranking.document_topics(items)
 
 
@@ -228,7 +229,7 @@ def link_shared_terms(spark, d):
     return linking.pair_candidates(_item_topics(spark, d)[1])
 
 
-_MATCHES = f"""st AS (SELECT DISTINCT doc_id, chunk, unnest(list_filter({WORDS}, t -> {INFORMATIVE})) AS term FROM sent), sz AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk) AS n FROM st),
+_MATCHES = f"""st AS (SELECT DISTINCT doc_id, chunk, unnest(list_filter({WORDS}, lambda t: {INFORMATIVE})) AS term FROM sent), sz AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk) AS n FROM st),
     pd AS (SELECT doc_id, count(DISTINCT chunk) AS s FROM sz GROUP BY 1), dfs AS (SELECT doc_id, term, count(*) AS df FROM sz GROUP BY ALL),
     mm AS (SELECT source, target, a.chunk AS a, b.chunk AS b, a.n AS na, b.n AS nb, round(ln(1 + (pa.s + pb.s + 1) / (da.df + db.df)), 9) AS w FROM pairs JOIN sz a ON a.doc_id = source JOIN sz b ON b.doc_id = target AND b.term = a.term
         JOIN dfs da ON da.doc_id = source AND da.term = a.term JOIN dfs db ON db.doc_id = target AND db.term = a.term JOIN pd pa ON pa.doc_id = source JOIN pd pb ON pb.doc_id = target),
