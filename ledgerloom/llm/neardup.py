@@ -8,7 +8,9 @@ shingle sets. The groups are the connected components of the verified pairs.
 
 Of a band's members, each is first compared with the least one alone, which is linear and joins most
 copies of a family; then one member of each component so found is compared with those of every other component in
-the band, so that no candidate is given up, however many there are.
+the band, however many there are. This second comparison takes place where the band's rows, with their sketches, have been brought
+together, so that only pairs that look similar are ever written; a band of many rows is cut into blocks, and each two blocks
+are compared in a place of their own.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .fingerprints import bin_minima
 from .workspace import written
 
 BUCKETS, MANTISSA, ROWS, SHINGLE, THRESHOLD = 128, 10, 4, 3, 0.5
+#: Rows of a band that are compared in one place; the result doesn't depend on it.
+BLOCK = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _VALUE_BITS = 57
 
@@ -133,6 +137,79 @@ def _promising(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
+def similar_rows(group: np.ndarray, part: np.ndarray, own: np.ndarray, inner: np.ndarray, n: np.ndarray, regs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the same group and of different parts whose estimate, give or take three standard deviations, reaches the threshold.
+
+    Rows lie group by group. Where ``inner`` is false, a group is two blocks, told apart by ``own``, and only pairs across them count.
+    """
+    filled = (regs > 0).sum(axis=1)
+    found_a, found_b = [], []
+    live, step = np.arange(len(group)), 0
+    while True:
+        step += 1
+        live = live[live < len(group) - step]
+        live = live[group[live] == group[live + step]]
+        if not len(live):
+            break
+        chosen = live[(part[live] != part[live + step]) & (inner[live] | (own[live] != own[live + step]))]
+        for lo in range(0, len(chosen), 16384):
+            a = chosen[lo : lo + 16384]
+            left = regs[a]
+            same = ((left == regs[a + step]) & (left > 0)).sum(axis=1)
+            least = np.maximum(np.maximum(filled[a], filled[a + step]), 1)  # at most the buckets that the estimate rests on
+            a = a[same / least + 3 * np.sqrt(0.25 / least) >= threshold]
+            if len(a):
+                jaccard, used = estimate(regs[a], regs[a + step], n[a], n[a + step])
+                a = a[jaccard + 3 * np.sqrt(0.25 / used) >= threshold]
+                found_a.append(a), found_b.append(a + step)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _promising_in_bands(parts: DataFrame, units: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b), a < b, of rows of the same key and different parts that look similar. ``parts``: key, part, uid, n (rows of the key)."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = parts.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).select("key", "part", "uid", "own", F.inline(cells))
+    sketches = units.select("uid", F.col("n").alias("size"), "sketch")
+    rows = rows.join(sketches, "uid").select("key", "i", "j", "part", "own", "uid", "size", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def compared(columns: list[np.ndarray]) -> pa.RecordBatch:
+            key, i, j, part, own, uid, size, regs = columns
+            new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            group = np.concatenate([[0], np.cumsum(new)])
+            a, b = similar_rows(group, part, own, i == j, size, regs, threshold)
+            pairs = np.unique(np.stack([np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(7)]
+            data, _ = ta.string_parts(batch.column(7).cast(pa.large_binary()).view(pa.large_string()))
+            columns.append(np.frombuffer(data.tobytes(), np.uint16).reshape(batch.num_rows, BUCKETS))
+            key, i, j = columns[:3]
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            same = held and all(held[-1][k][-1] == columns[k][0] for k in range(3))
+            cut = int(new[-1]) if len(new) else (0 if same or not held else None)
+            if cut is None:  # a batch of one group, another than the one held
+                cut = 0
+                yield compared([np.concatenate(c) for c in zip(*held)])
+                held = []
+            elif cut:
+                held.append([c[:cut] for c in columns])
+                yield compared([np.concatenate(c) for c in zip(*held)])
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield compared([np.concatenate(c) for c in zip(*held)])
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     side = lambda x: sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s_{x}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -173,10 +250,8 @@ def _labels(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     roots = components(found)
     named = members.join(roots, members["uid"] == roots["v"], "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
     parts = named.groupBy("key", "part").agg(F.min("uid").alias("uid"))
-    parts = written(parts.withColumn("n", F.count("*").over(by_key)).filter("n > 1").drop("n"), "parts")
-    x, y = (parts.select("key", F.col("part").alias(f"part_{s}"), F.col("uid").alias(s)) for s in ("a", "b"))
-    others = x.join(y, "key").filter("part_a < part_b").select("a", "b").distinct()
-    more = _verified(_promising(others, units, threshold), sets, threshold)
+    parts = parts.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    more = _verified(written(_promising_in_bands(parts, units, threshold), "more-pairs"), sets, threshold)
     return sketched.select("doc_id", "uid"), components(found.unionByName(more))
 
 
