@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import money_queries, record_queries, text_queries, vector_queries  # noqa: F401
+from . import layout_queries, money_queries, record_queries, text_queries, vector_queries  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401
