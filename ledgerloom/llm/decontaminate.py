@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textarrays as ta
+from .workspace import free_name
 
 SHINGLE, THRESHOLD, RECALL, INDEX_BYTES = 5, 0.5, 0.99, 64 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,7 +80,7 @@ def partition_windows(shingles: np.ndarray, counts: np.ndarray, parts: list[Part
     Windows begin at every block and may run on into the next rows; :func:`window_rows`
     tells which.
     """
-    if not len(shingles):
+    if not len(shingles) or not parts:
         return
     parts = sorted(parts, key=lambda q: q.block)
     padded = -(-len(shingles) // parts[-1].block) * parts[-1].block
@@ -203,7 +204,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGL
     """The rows of ``docs``, all columns, in which :func:`contaminated` finds no item; null and empty texts stay."""
     if not _small(items, index_bytes):
         pairs = _joined(docs, items, shingle, threshold, recall)
-        return docs.join(pairs.select("__doc").distinct(), F.xxhash64(docs["text"]) == F.col("__doc"), "left_anti")
+        own = free_name(docs, "__doc")
+        return docs.join(pairs.select(F.col("__doc").alias(own)).distinct(), F.xxhash64(docs["text"]) == F.col(own), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in items.select("text").collect()], shingle, threshold, recall))
     at = [c.lower() for c in docs.columns].index("text")
 

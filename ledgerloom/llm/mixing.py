@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .workspace import written
+from .workspace import free_name, written
 
 TEMPERATURE_SOURCE, TEMPERATURE_LANG, ITERATIONS, TOLERANCE, SEED = 0.5, 0.8, 60, 1e-9, 17
 _NULL = "\u0000null"
@@ -133,5 +133,4 @@ def mixing_rates(docs: DataFrame, sources: dict[str, float] | None = None, langs
 def mix(docs: DataFrame, sources: dict[str, float] | None = None, langs: dict[str, float] | None = None, budget: float = 1.0, tokens: Column | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated as often as :func:`mixing_rates` says, 0 times included; the columns stay."""
     _, rate = _rates(docs, sources, langs, budget, tokens)
-    columns = docs.columns
-    return docs.select("*", F.explode(F.array_repeat(F.lit(0), _copies(rate, seed))).alias("__copy")).select(*[docs[c] for c in columns])
+    return docs.select("*", F.explode(F.array_repeat(F.lit(0), _copies(rate, seed))).alias(free_name(docs, "__copy"))).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import textarrays as ta
 from .fingerprints import bin_minima
-from .workspace import written
+from .workspace import free_name, written
 
 BUCKETS, MANTISSA, ROWS, SHINGLE, THRESHOLD = 128, 10, 4, 3, 0.5
 #: Rows of a band that are compared in one place; the result doesn't depend on it.
@@ -274,9 +274,10 @@ def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: one of each group."""
     rows, roots = _labels(docs, threshold)
     named = rows.join(roots, rows["uid"] == roots["v"], "left").select("doc_id", "uid", F.coalesce("root", "uid").alias("root"))
-    keepers = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least")).select(F.col("least.uid").alias("__uid"))
+    own, nth = free_name(docs, "__uid"), free_name(docs, "__nth")
+    keepers = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least")).select(F.col("least.uid").alias(own))
     at = [c.lower() for c in docs.columns].index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__uid", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +286,7 @@ def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
                 uid = ta.sequence_hash(*ta.words(part.column(at))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(uid)], names=schema.names)
 
-    kept = docs.mapInArrow(run, schema).join(keepers, "__uid", "left_semi")
+    kept = docs.mapInArrow(run, schema).join(keepers, own, "left_semi")
     others = [F.xxhash64(*[c for c in docs.columns])]
-    kept = kept.withColumn("__nth", F.row_number().over(W.partitionBy("__uid").orderBy(F.asc_nulls_last("doc_id"), *others)))
-    return kept.filter("__nth = 1").select(*docs.columns)
+    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(own).orderBy(F.asc_nulls_last("doc_id"), *others)))
+    return kept.filter(F.col(nth) == 1).select(*docs.columns)
