@@ -66,7 +66,8 @@ def chunks(text: Column) -> Column:
 
 
 def gaps(line: Column, least: int = 6) -> Column:
-    return F.regexp_count(line, F.lit(rf"\S {{{least},}}\S"))
+    """The number of runs of ``least`` blanks or more inside the line."""
+    return F.regexp_count(F.trim(line), F.lit(rf" {{{least},}}"))
 
 
 def is_table_line(line: Column, least_gap: int = 6) -> Column:

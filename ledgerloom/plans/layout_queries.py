@@ -47,7 +47,7 @@ def noise_chunks(spark, d):
     return sentences_of(table(spark, d, "documents")).select("doc_id", "chunk", layout.nonspace(c).alias("nonspace"), layout.is_noise(c).alias("is_noise"), layout.is_sentence(c).alias("is_sentence"))
 
 
-@query("layout_blocks", f"""WITH {_LINES}, h AS (SELECT *, {' + '.join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in layout.TABLE_HINTS)} AS hints, len(regexp_extract_all(lower(text), '\\S {{6,}}\\S')) AS gaps,
+@query("layout_blocks", f"""WITH {_LINES}, h AS (SELECT *, {' + '.join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in layout.TABLE_HINTS)} AS hints, len(regexp_extract_all(trim(text), ' {{6,}}')) AS gaps,
         len(list_filter(string_split_regex(text, '\\t| {{6,}}'), lambda x: trim(x) <> '')) AS parts FROM ln WHERE trim(text) <> ''),
     k AS (SELECT doc_id, line, CASE WHEN len(regexp_extract_all(text, '\\t')) >= 2 OR hints >= 2 OR (gaps >= 2 AND regexp_matches(text, '[0-9]')) THEN 'table' WHEN parts >= 2 THEN 'multicol' ELSE 'plain' END AS kind FROM h),
     g AS (SELECT *, coalesce(lag(kind) OVER w <> kind OR (kind = 'plain' AND line - lag(line) OVER w > 1), true) AS fresh FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
