@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LETTER = "A-Za-zÀ-ɏ"
 EN_TOKEN = rf"([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]+(?:[.,][0-9]+)*|n['’]t|['’](?:ve|re|ll|m|d|s)|[{LETTER}]+(?:[-'’][{LETTER}]+)*|[^\s0-9{LETTER}])"
-FR_TOKEN = rf"((?:https?://|www\.)[^\s]+|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]+(?:[.,][0-9]+)*|[{LETTER}]+['’]|[{LETTER}]+(?:-[{LETTER}]+)*|[^\s0-9{LETTER}])"
+FR_TOKEN = rf"((?:www\.|https?://)\S+|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]+(?:[.,][0-9]+)*|[{LETTER}]+['’]|[{LETTER}]+(?:-[{LETTER}]+)*|[^\s0-9{LETTER}])"
 AR_TOKEN = r"([؀-ۿ]+|[A-Za-z]+|[0-9]+|[^\s؀-ۿA-Za-z0-9])"
 DATE = r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:19|20)[0-9]{2})$"
 CURRENCY = r"^(?:€|\$|£|EUR|USD|GBP|MAD|TND|euros?|dollars?|dirhams?|dinars?)$"
@@ -36,8 +36,8 @@ AR = {
     "PRP": "هو هي هم أنا نحن أنت هذا هذه ذلك التي الذي",
     "RB": "لا لم لن قد",
 }
-EN_IRREGULAR = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "am": "be", "'m": "be", "'re": "be", "has": "have", "had": "have", "'ve": "have", "does": "do", "did": "do", "n't": "not", "ca": "can", "wo": "will", "'ll": "will", "'d": "would", "men": "man", "women": "woman", "children": "child", "went": "go", "said": "say", "made": "make"}
-FR_IRREGULAR = {"est": "être", "sont": "être", "était": "être", "suis": "être", "a": "avoir", "ont": "avoir", "avait": "avoir", "ai": "avoir", "va": "aller", "vont": "aller", "fait": "faire", "font": "faire", "les": "le", "la": "le", "l'": "le", "d'": "de", "une": "un", "aux": "à", "yeux": "œil", "peut": "pouvoir", "doit": "devoir"}
+EN_IRREGULAR = {form: word for word, forms in {"be": "is are was were been am 'm 're", "have": "has had 've", "do": "does did", "not": "n't", "can": "ca", "will": "wo 'll", "would": "'d", "man": "men", "woman": "women", "child": "children", "go": "went", "say": "said", "make": "made"}.items() for form in forms.split()}
+FR_IRREGULAR = {form: word for word, forms in {"être": "est sont était suis", "avoir": "a ont avait ai", "aller": "va vont", "faire": "fait", "le": "les la l'", "de": "d'", "un": "une", "à": "aux", "œil": "yeux", "pouvoir": "peut", "devoir": "doit"}.items() for form in forms.split()}
 _AR_MARKS = "[ً-ٰٟـ]"
 
 

@@ -8,6 +8,7 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅ
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 _ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 _ASCII_DIGITS = "01234567890123456789"
+EMAIL = r"[\w.%+\-]+@[A-Za-z\d.\-]+\.[A-Za-z]{2,}"
 WORD = "([A-Za-z0-9_À-ɏ؀-ۿ]+)"
 
 STOPWORDS = frozenset("the and for with that this from les des une est dans pour par sur que qui pas avec der die das und ein eine ist von mit los las del para por con are was were has have had not but you all any can her his our out".split())
@@ -123,12 +124,12 @@ def language_of_grammar(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({EMAIL})"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda e: F.lower(F.regexp_replace(e, r"\.+$", ""))))
 
 
 def urls(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:https?://|www\.)[^\s<>\"')\]]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:www\.|https?://)[^\s<>\"')\]]+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda u: F.lower(F.regexp_replace(u, r"[.,;:]+$", ""))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _hashed(term: str, dim: int) -> tuple[int, float]:
     digest = hashlib.blake2b(term.encode(), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "big") % dim, 1.0 if digest[8] & 1 else -1.0
+    place, sign = struct.unpack_from(">QB", digest)
+    return place % dim, 1.0 if sign % 2 else -1.0
 
 
 def hashed_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataFrame:

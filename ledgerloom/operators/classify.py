@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.text import classifier_normal
 
-WEIGHTS = {"strong": 5, "medium": 2, "weak": 1, "negative": -2, "strong_negative": -5}
+WEIGHTS = dict(strong=5, medium=2, weak=1, negative=-2, strong_negative=-5)
 FIRST_PAGE, THRESHOLD, MARGIN, CONFUSION = 1.2, 6, 3, 5
 RULES = [
     ("ENGLISH_PROSE", 3, "strong", "the"), ("ENGLISH_PROSE", 3, "medium", "with"), ("ENGLISH_PROSE", 3, "weak", "for"), ("ENGLISH_PROSE", 3, "negative", "les"), ("ENGLISH_PROSE", 3, "strong_negative", "und"),

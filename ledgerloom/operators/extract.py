@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as tx
 
 RULES = [
-    ("email", "email-1", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 0, True, ""),
+    ("email", "email-1", tx.EMAIL, 0, True, "a"),
     ("phone", "phone-1", r"(?<![0-9])\+?[0-9][0-9 .()/\-]{8,18}[0-9](?![0-9])", 0, True, ""),
     ("amount", "amount-1", r"([0-9]+(?:[.,][0-9]{2}))\s*(?:€|EUR|\$|USD)", 1, True, "i"),
     ("first_name", "name-1", r"\b([A-Z][a-z]{3,})\b", 1, False, ""),

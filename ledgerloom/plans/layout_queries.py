@@ -67,7 +67,7 @@ def extract_rules_long(spark, d):
     return extract.matches(pages_of(table(spark, d, "documents")))
 
 
-_EMAILS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')"
+_EMAILS = r"regexp_extract_all(coalesce(text, ''), '[\w.%+\-]+@[A-Za-z\d.\-]+\.[A-Za-z]{2,}')"
 
 
 @query("extract_emails", f"WITH e AS (SELECT doc_id, {_EMAILS} AS l FROM documents) SELECT doc_id, unnest(l) AS value, generate_subscripts(l, 1) AS match_no FROM e")

@@ -122,8 +122,8 @@ def excerpts(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clipped(F.col("text")).alias("excerpt"), tx.clipped(F.col("text"), 400).alias("preview"))
 
 
-_EMAIL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1), lambda e: lower(regexp_replace(e, '\.+$', ''))))"
-_URL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '((?:https?://|www\.)[^\s<>\"'')\]]+)', 1), lambda e: lower(regexp_replace(e, '[.,;:]+$', ''))))"
+_EMAIL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '([\w.%+\-]+@[A-Za-z\d.\-]+\.[A-Za-z]{2,})', 1), lambda e: lower(regexp_replace(e, '\.+$', ''))))"
+_URL = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '((?:www\.|https?://)[^\s<>\"'')\]]+)', 1), lambda e: lower(regexp_replace(e, '[.,;:]+$', ''))))"
 _PHONE = r"list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '([+]?[0-9][0-9 .()/\-]*[0-9])', 1), lambda r: length(regexp_replace(r, '[^0-9]', '', 'g')) BETWEEN 10 AND 15), lambda r: CASE WHEN r[1] = '+' THEN '+' ELSE '' END || regexp_replace(r, '[^0-9]', '', 'g')))"
 
 

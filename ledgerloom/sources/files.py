@@ -15,11 +15,11 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+_OPEN_XML, _OASIS = "application/vnd.openxmlformats-officedocument", "application/vnd.oasis.opendocument"
 MIME = {
     "pdf": "application/pdf", "tiff": "image/tiff", "png": "image/png", "jpg": "image/jpeg", "webp": "image/webp", "epub": "application/epub+zip",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "odt": "application/vnd.oasis.opendocument.text",
-    "ods": "application/vnd.oasis.opendocument.spreadsheet", "odp": "application/vnd.oasis.opendocument.presentation", "zip": "application/zip", "ole": "application/x-ole-storage",
+    "docx": f"{_OPEN_XML}.wordprocessingml.document", "xlsx": f"{_OPEN_XML}.spreadsheetml.sheet", "pptx": f"{_OPEN_XML}.presentationml.presentation",
+    "odt": f"{_OASIS}.text", "ods": f"{_OASIS}.spreadsheet", "odp": f"{_OASIS}.presentation", "zip": "application/zip", "ole": "application/x-ole-storage",
 }
 IMAGES = ("tiff", "png", "jpg", "webp")
 OFFICE = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub")
@@ -185,7 +185,7 @@ def _opendocument(z: zipfile.ZipFile) -> list[str]:
 
 def _epub(z: zipfile.ZipFile) -> list[str]:
     pages = []
-    for name in sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))):
+    for name in sorted(n for n in z.namelist() if re.search(r"\.x?html?$", n.lower())):
         text = re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<br\s*/?>|</p\s*>", "\n", z.read(name).decode("utf-8", "replace")))
         pages.append(text.strip())
     return pages
