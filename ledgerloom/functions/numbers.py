@@ -15,13 +15,12 @@ def _ascii(raw: Column) -> Column:
     return F.translate(F.coalesce(raw, F.lit("")), _ARABIC_DIGITS + "\u00a0\u202f", _ASCII_DIGITS + "  ")
 
 
-def plain_number(token: Column) -> Column:
-    """One number's text with a decimal point only.
+def plain_number(t: Column) -> Column:
+    """One number's text, without blanks, with a decimal point only.
 
     With both marks the later one is the decimal mark. A single mark before exactly three digits, and a mark that repeats, groups
     thousands.
     """
-    t = F.regexp_replace(token, " ", "")
     comma, dot = F.instr(t, ","), F.instr(t, ".")
     last_comma, last_dot = F.length(t) - F.instr(F.reverse(t), ","), F.length(t) - F.instr(F.reverse(t), ".")
     no = lambda c, mark: F.regexp_replace(c, mark, "")
@@ -39,7 +38,8 @@ def amount(raw: Column) -> Column:
     """The last number in a table cell as money; null for dates, codes and text without a number."""
     text = _ascii(raw)
     tokens = F.regexp_extract_all(text, F.lit(r"(-?[0-9]{1,3}(?: [0-9]{3})+(?:[.,][0-9]+)?|-?[0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
-    values = F.filter(F.transform(tokens, lambda t: F.round(plain_number(t).try_cast("decimal(24,6)"), 2).cast(MONEY)), lambda v: v.isNotNull())
+    bare = F.transform(tokens, lambda t: F.replace(t, F.lit(" "), F.lit("")))
+    values = F.filter(F.transform(bare, lambda t: F.round(plain_number(t).try_cast("decimal(24,6)"), 2).cast(MONEY)), lambda v: v.isNotNull())
     return F.when(text.rlike(_NOT_MONEY), F.lit(None).cast(MONEY)).otherwise(F.try_element_at(values, F.lit(-1)))
 
 
