@@ -8,9 +8,10 @@ shingle sets. The groups are the connected components of the verified pairs.
 
 Of a band's members, each is first compared with the least one alone, which is linear and joins most
 copies of a family; then one member of each component so found is compared with those of every other component in
-the band, however many there are. This second comparison takes place where the band's rows, with their sketches, have been brought
+the band, which joins most families. In the bands that still hold several components every member is at last compared with every member of
+the others, so that no two candidates in different groups go unverified. The second and the last comparison take place where the band's rows, with their sketches, have been brought
 together, so that only pairs that look similar are ever written; a band of many rows is cut into blocks, and each two blocks
-are compared in a place of their own.
+that don't lie wholly within one component are compared in a place of their own.
 """
 
 from __future__ import annotations
@@ -168,9 +169,17 @@ def similar_rows(group: np.ndarray, part: np.ndarray, own: np.ndarray, inner: np
 
 def _promising_in_bands(parts: DataFrame, units: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """The pairs (a, b), a < b, of rows of the same key and different parts that look similar. ``parts``: key, part, uid, n (rows of the key)."""
+    ordered = parts.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("part", "uid")) - 1)
+    of_part = W.partitionBy("key", "part")
+    ordered = ordered.withColumn("first", F.min("at").over(of_part)).withColumn("last", F.max("at").over(of_part))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    rows = parts.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).select("key", "part", "uid", "own", F.inline(cells))
+    # the blocks from ``pure`` to ``mixed`` - 1 hold rows of this part alone and needn't meet each other
+    mixed = F.when(F.col("last") == F.col("n") - 1, F.col("blocks")).otherwise(F.floor((F.col("last") + 1) / block))
+    ordered = ordered.withColumn("blocks", blocks).withColumn("own", F.floor(F.col("at") / block).cast("int")).withColumn("pure", F.ceil(F.col("first") / block)).withColumn("mixed", mixed)
+    within = lambda j: (j >= F.col("pure")) & (j < F.col("mixed"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: ~(within(F.col("own")) & within(j)))
+    cells = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = ordered.select("key", "part", "uid", "own", F.inline(cells))
     sketches = units.select("uid", F.col("n").alias("size"), "sketch")
     rows = rows.join(sketches, "uid").select("key", "i", "j", "part", "own", "uid", "size", "sketch")
 
@@ -248,11 +257,17 @@ def _labels(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     stars = members.filter("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct()
     found = written(_verified(_promising(stars, units, threshold), sets, threshold), "pairs")
     roots = components(found)
-    named = members.join(roots, members["uid"] == roots["v"], "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
-    parts = named.groupBy("key", "part").agg(F.min("uid").alias("uid"))
-    parts = parts.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
-    more = _verified(written(_promising_in_bands(parts, units, threshold), "more-pairs"), sets, threshold)
-    return sketched.select("doc_id", "uid"), components(found.unionByName(more))
+    for every_member in (False, True):
+        named = members.join(roots, members["uid"] == roots["v"], "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
+        if every_member:
+            several = F.min("part").over(by_key) < F.max("part").over(by_key)
+            parts = named.withColumn("several", several).withColumn("n", F.count("*").over(by_key)).filter("several").drop("several")
+        else:
+            parts = named.groupBy("key", "part").agg(F.min("uid").alias("uid"))
+            parts = parts.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+        more = _verified(written(_promising_in_bands(parts, units, threshold), "more-pairs"), sets, threshold)
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return sketched.select("doc_id", "uid"), roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

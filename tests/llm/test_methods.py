@@ -296,6 +296,32 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r[0] for r in neardup.remove_near_duplicates(fx.frame(spark, rows)).select("doc_id").collect()) == sorted(kept)
 
 
+def test_every_similar_candidate_of_a_large_family_is_joined(spark):
+    base = fx.prose(500, 300)
+    rows = [(0, base, "en", "a", 0)] + [(1 + i, changed(base, 0.05, i), "en", "a", 0) for i in range(300)] + [(1000 + i, changed(base, 0.09 + 0.01 * (i % 6), 5000 + i), "en", "a", 0) for i in range(150)]
+    shingles, counts = ta.shingles(*ta.words(pa.array([r[1] for r in rows])), neardup.SHINGLE)
+    minima = fingerprints.bin_minima(shingles, counts, neardup.BUCKETS)
+    keys = defaultdict(set)
+    for row, key in zip(*neardup.band_keys(neardup.registers(minima), minima)):
+        keys[int(row)].add(int(key))
+    pairs, _ = near_groups(rows, neardup.THRESHOLD)
+    due = [(a, b) for a, b in pairs if keys[a] & keys[b]]
+    got = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(fx.frame(spark, rows)).collect()}
+    assert len(due) > 10_000 and [p for p in due if got[rows[p[0]][0]] != got[rows[p[1]][0]]] == []
+
+
+@pytest.mark.parametrize("block", [2048, 20, 7])
+def test_blocks_of_one_part_do_not_meet(spark, block):
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 60000, neardup.BUCKETS).astype(np.uint16)
+    regs = np.where(rng.random((130, neardup.BUCKETS)) < 0.1, rng.integers(1, 60000, (130, neardup.BUCKETS)), base).astype(np.uint16)
+    part = [0] * 60 + [1] * 3 + [2] * 67
+    units = spark.createDataFrame([(i, 500, bytes(regs[i].tobytes())) for i in range(130)], "uid long, n long, sketch binary")
+    parts = spark.createDataFrame([(9, part[i], i, 130) for i in range(130)], "key long, part long, uid long, n long")
+    want = {(a, b) for b in range(130) for a in range(b) if part[a] != part[b]}
+    assert {tuple(r) for r in neardup._promising_in_bands(parts, units, 0.5, block).collect()} == want
+
+
 def test_a_block_size_changes_nothing(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(1, 60000, (12, neardup.BUCKETS)).astype(np.uint16)
