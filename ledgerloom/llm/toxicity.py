@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-From labelled documents each word gets a log-odds score, toxic against clean, smoothed by
-a Dirichlet prior in proportion to the word's overall rate. A linear scan (Ruzzo and Tompa) then
+From labelled documents each word gets a log-odds score, toxic against clean, shrunken by ``PRIOR``
+occurrences that are divided between the classes as all words are; that damps rare words, so that no bound on significance is needed. A linear scan (Ruzzo and Tompa) then
 finds all maximal segments of a text, and extreme-value statistics (Karlin and Altschul)
 tell how many segments of such a score a clean text of that length would have by chance. The segments of a
 document are aggregated into one p-value by the sum statistic.
@@ -24,7 +24,7 @@ from . import textarrays as ta
 
 #: At most so many labelled documents of either class are used to fit, chosen by the hash of their doc_id.
 MAX_LABELLED = 10_000
-PRIOR, LEAST_Z, LEAST_LOG_ODDS, P_DOC, E_PASSAGE = 0.01, 1.96, 2.0, 0.002, 0.05
+PRIOR, LEAST_LOG_ODDS, P_DOC, E_PASSAGE = 2.0, 2.0, 0.002, 0.05
 _NULL_HITS = 200_000
 
 
@@ -126,10 +126,10 @@ def null_k(p: np.ndarray, scores: np.ndarray, other: float, lam: float) -> float
     return max(1, found) * math.exp(lam * least) / float(gaps.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, least_z: float = LEAST_Z, least_log_odds: float = LEAST_LOG_ODDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, least_log_odds: float = LEAST_LOG_ODDS) -> Model:
     """The model, from at most ``max_labelled`` toxic and as many clean labelled documents.
 
-    Labels other than 0 and 1, null ids and labels without a document are passed over; of conflicting labels toxic wins.
+    A word of shrunken log-odds below ``least_log_odds`` counts like any other. Labels other than 0 and 1, null ids and labels without a document are passed over; of conflicting labels toxic wins.
     Without both classes, or if no word stands out, the model has no words and rejects nothing.
     """
     spark = docs.sparkSession
@@ -164,14 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
     from .workspace import written
 
     by_word = written(by_word, "toxic-words")
-    n_t, n_c = (float(x or 0) for x in by_word.agg(F.sum("t"), F.sum("c")).first())
+    n_t, n_c, n_words = (float(x or 0) for x in by_word.agg(F.sum("t"), F.sum("c"), F.count("*")).first())
     if not n_t or not n_c:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0)
-    a = (F.col("t") + F.col("c")) * prior
-    a0 = (n_t + n_c) * prior
-    odds = F.log((F.col("t") + a) / (n_t + a0)) - F.log((F.col("c") + a) / (n_c + a0))
-    z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    rows = by_word.select("word", "t", odds.alias("score"), z.alias("z"), ((F.col("c") + a) / (n_c + a0)).alias("p")).filter((F.col("z") >= least_z) & (F.col("score") >= least_log_odds)).collect()
+    a_t, a_c = prior * n_t / (n_t + n_c), prior * n_c / (n_t + n_c)
+    odds = F.log((F.col("t") + a_t) / a_t) - F.log((F.col("c") + a_c) / a_c)
+    rate = (F.col("c") + a_c) / (n_c + a_c * n_words)
+    rows = by_word.select("word", "t", odds.alias("score"), rate.alias("p")).filter(F.col("score") >= least_log_odds).collect()
     if not rows:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0)
     rows.sort(key=lambda r: r["word"] % (1 << 64))

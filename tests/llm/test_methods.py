@@ -202,6 +202,27 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept == {i for i in range(1200) if not got[i]["toxic"]}
 
 
+def test_rare_toxic_words_of_a_small_language(spark):
+    rng = random.Random(14)
+    rare = [f"mal{a}{b}" for a in ("do", "vi", "gru", "ta", "ple", "se", "ri", "no", "fu", "ba") for b in ("xo", "zar", "nte", "co", "rrin", "ja", "bu", "mez")]
+    rows, marks, bad_rows, clean_rows = [], [], [], []
+    for i in range(1500):
+        small, bad = i % 5 == 0, i % 10 in (1, 5)
+        words = [w + "o" if small else w for w in fx.prose(i, rng.choice([40, 150])).replace(",", "").replace(".", "").split(" ")]
+        if bad and small:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.sample(rare, 4)
+        elif bad:
+            words[3:3] = ["grubface", "scumling"]
+        rows.append((i, " ".join(words), "es" if small else "en", "a", 0))
+        if i < 1000:
+            marks.append((i, 1, int(bad)))
+        elif small:
+            (bad_rows if bad else clean_rows).append(i)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(fx.frame(spark, rows), fx.labels(spark, marks)).collect()}
+    assert sum(got[i] for i in bad_rows) >= 0.7 * len(bad_rows) and sum(got[i] for i in clean_rows) <= 0.02 * len(clean_rows)
+
+
 def test_no_model_without_both_classes(spark):
     docs = fx.frame(spark, [(i, fx.prose(i, 50), "en", "a", 0) for i in range(20)])
     for marks in ([], [(1, 1, 0)], [(1, 1, 1)]):
