@@ -77,8 +77,9 @@ def deduped_lines(docs: DataFrame, batches: int = BATCHES, min_words: int = MIN_
     """doc_id, text, n_lines, n_removed: a row for each row of ``docs``, its text without the lines that came before.
 
     Documents go by in the order of doc_id, nulls first, in ``batches`` of about equal ranges of doc_id; within one doc_id by
-    the whole text. Lines are compared without white space at the ends; of equal lines the very first stays, within a document
-    too. Lines of fewer than ``min_words`` words always stay, since they repeat by chance. A document that loses all its lines has
+    the whole text. Lines are compared without blanks (U+0020) at the ends; of equal lines the very first stays, within a document
+    too. Lines of fewer than ``min_words`` words, split at blanks
+    alone, always stay, since they repeat by chance; with ``min_words`` 1 only empty lines do. A document that loses all its lines has
     the text ''. A null text is one empty line, so its text is ''. Rows that repeat doc_id and text count as one document and
     get the same text. A doc_id that is no number makes one batch of all. Other columns are not read. The number of batches, fan-out and buckets
     don't change the result; at scale raise ``buckets`` so that a bucket of a run fits a task.
