@@ -7,8 +7,14 @@ shard comes or goes only the records that it gains or loses move.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .workspace import free_name, scanned_bytes
+
+#: Bytes of scanned files for each partition that is written.
+PIECE_BYTES = 128 << 20
 SHARDS = {f"shard-{i:02d}": 2.0 if i < 4 else 1.0 for i in range(16)}
 
 
@@ -29,14 +35,29 @@ def rendezvous(key: Column, shards: dict[str, float]) -> Column:
     return F.array_min(F.array(*[cost(n, w) for n, w in sorted(shards.items())]))["name"]
 
 
-def shard(docs: DataFrame, shards: dict[str, float] = SHARDS, pieces: int = 4) -> DataFrame:
-    """``docs`` with the column ``shard``, each shard's records brought together in ``pieces`` partitions.
+def pieces_of(shards: dict[str, float], pieces: int) -> dict[str, tuple[int, int]]:
+    """(first partition, number of partitions) of each shard: about ``pieces`` for a shard of mean weight, one at least."""
+    out, first, total = {}, 0, sum(shards.values())
+    for name, weight in sorted(shards.items()):
+        n = max(1, round(pieces * len(shards) * weight / total))
+        out[name], first = (first, n), first + n
+    return out
+
+
+def shard(docs: DataFrame, shards: dict[str, float] = SHARDS, pieces: int | None = None) -> DataFrame:
+    """``docs`` with the column ``shard``, each shard's records brought together in partitions of their own.
 
     A column of that name in ``docs`` is replaced. The key is :func:`record_key`, so rows with the
     same doc_id (repeated rows included) go to the same shard, and a row without doc_id goes where
-    its text sends it. All rows stay, empty and null texts too. At scale raise ``pieces``
-    so that a shard's piece fits a task; it doesn't change the assignment.
+    its text sends it. All rows stay, empty and null texts too. A shard has partitions by its weight, ``pieces`` if its weight
+    is the mean, by default one for each ``PIECE_BYTES`` that the scanned files hold, four at least; within a shard rows are spread by
+    their place, so that a key that very many rows share fills no single partition. The assignment doesn't depend on it.
     """
-    key = record_key(docs)
-    out = docs.withColumn("shard", rendezvous(key, shards))
-    return out.repartition(len(shards) * pieces, F.col("shard"), F.pmod(F.xxhash64(record_key(out)), F.lit(pieces)))
+    if pieces is None:
+        pieces = max(4, math.ceil(scanned_bytes(docs) / PIECE_BYTES / max(1, len(shards))))
+    out = docs.withColumn("shard", rendezvous(record_key(docs), shards))
+    cells = pieces_of(shards, pieces)
+    first, n = (F.create_map(*[x for name, cell in cells.items() for x in (F.lit(name), F.lit(cell[i]))])[F.col("shard")] for i in (0, 1))
+    own = free_name(out, "__piece")
+    placed = out.withColumn(own, F.monotonically_increasing_id()).withColumn(own, (first + F.pmod(F.xxhash64(own), n)).cast("int"))
+    return placed.repartitionById(sum(n for _, n in cells.values()), own).drop(own)
