@@ -22,6 +22,7 @@ QUERIES = {
     "op10_line_dedup": lambda spark, d: linededup.deduped_lines(_table(spark, d, "documents")),
 }
 
+_WHITE = " || ".join(f"chr({ord(c)})" for c in linededup.WHITE)
 _SHARD_ROWS = ", ".join(f"('{name}', {weight})" for name, weight in sorted(sharding.SHARDS.items()))
 
 ORACLE_SQL = {
@@ -32,10 +33,10 @@ ORACLE_SQL = {
         SELECT doc_id, text, lang, source, n_chars, shard FROM keyed JOIN drawn USING (r)""",
     "op10_line_dedup": f"""
         WITH lines AS (
-            SELECT doc_id, pos, trim(line) AS line, raw FROM (
+            SELECT doc_id, pos, trim(line, {_WHITE}) AS line, raw FROM (
                 SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS words FROM lines)
-        SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE nth = 1 OR words < {linededup.MIN_WORDS}), '') AS text,
-            count(*) AS n_lines, count(*) FILTER (WHERE nth > 1 AND words >= {linededup.MIN_WORDS}) AS n_removed
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM lines)
+        SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE nth = 1 OR line = ''), '') AS text,
+            count(*) AS n_lines, count(*) FILTER (WHERE nth > 1 AND line <> '') AS n_removed
         FROM ranked GROUP BY doc_id""",
 }
