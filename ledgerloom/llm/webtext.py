@@ -4,13 +4,19 @@ Each page's containers are scored by the running text in them. A container's pat
 tags and classes, digits left out, so that pages made from one template share paths. The pages
 of a host vote for paths with their scores, and each page is then extracted again from the winning path; a page without it
 uses its own best container.
+
+A page is parsed once, into a tree of paths in which each knows its parent, and the blocks of text with their place in it;
+that is stored, and both the votes and the second extraction read it. Paths are told apart by a digest that chains from
+the parent's, and are spelled out only where they are returned, so that memory and time grow in proportion to the page however deep it nests.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,19 +33,23 @@ _ASIDE = frozenset("nav aside form button select footer menu head".split())
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 LEAST_CHARS = 25
+#: Places over which a host's pages are spread when they meet its winning path.
+SALTS = 16
 
 
 class Page:
-    """The containers of a page and its blocks of text.
+    """The paths of a page's containers and its blocks of text.
 
-    Unclosed tags are closed by what must end them: an end tag closes all that was opened inside it, a block closes an open paragraph.
+    Path 0 is the page's own, without a name. Unclosed tags are closed by what must end them: an end tag closes all that was opened inside it, a block closes an open paragraph.
     """
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
+        self.names: list[str] = [""]
         self.parents: list[int] = [-1]
-        self.blocks: list[tuple[int, bool, str, int]] = []  # container, aside, text, characters in links
+        self.blocks: list[tuple[int, bool, str, int]] = []  # path, aside, text, characters in links
+        known: dict[tuple[int, str], int] = {}
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        opened: Counter[str] = Counter()
         pieces: list[str] = []
         links, open_links, at = 0, 0, 0
 
@@ -81,13 +91,14 @@ class Page:
                 continue
             open_links = 0
             if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
+                while opened[tag]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
                         break
                 continue
             if stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             node = stack[-1][1]
             if tag not in _LEAF and tag not in ("html", "body"):
                 classes = _CLASS.search(attributes) if "class" in attributes or "CLASS" in attributes else None
@@ -95,60 +106,107 @@ class Page:
                 if classes:
                     kinds = sorted({k for k in (_DIGITS.sub("", c.lower()).strip("-_") for c in (classes[1] or classes[2] or classes[3] or "").split()) if k})
                     name = ".".join([tag, *kinds])
-                self.paths.append(f"{self.paths[node]}>{name}" if self.paths[node] else name)
-                self.parents.append(node)
-                node = len(self.paths) - 1
+                own = known.get((node, name))
+                if own is None:
+                    own = known[node, name] = len(self.names)
+                    self.names.append(name)
+                    self.parents.append(node)
+                node = own
+            opened[tag] += 1
             stack.append((tag, node, stack[-1][2] or tag in _ASIDE))
         flush()
 
-    def scores(self) -> dict[str, float]:
+    def scores(self) -> dict[int, float]:
         """Score of each path: running text counts for its container, by half for the one around it."""
-        out: dict[str, float] = {}
+        out: dict[int, float] = {}
         for node, aside, text, links in self.blocks:
             if aside or len(text) < LEAST_CHARS:
                 continue
             gain = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - links / len(text))
             for share in (1.0, 0.5):
-                out[self.paths[node]] = out.get(self.paths[node], 0.0) + gain * share
+                out[node] = out.get(node, 0.0) + gain * share
                 node = self.parents[node]
                 if node < 0:
                     break
         return out
 
-    def text(self, path: str | None) -> str:
-        """The text inside the containers of ``path``; all of the page's, if None."""
-        inside = [p == path for p in self.paths]
-        for i in range(1, len(inside)):
-            inside[i] = inside[i] or inside[self.parents[i]]
-        return "\n".join(text for node, aside, text, _ in self.blocks if path is None or (inside[node] and not aside))
+    def keys(self) -> list[bytes]:
+        """The digest of each path, the same on every page."""
+        out = [b""]
+        for name, parent in zip(self.names[1:], self.parents[1:]):
+            out.append(blake2b(out[parent] + name.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        return out
+
+    def lengths(self) -> list[int]:
+        """The characters of each path when spelled out."""
+        out = [0]
+        for name, parent in zip(self.names[1:], self.parents[1:]):
+            out.append(out[parent] + len(name) + (parent > 0))
+        return out
 
 
-def best(scores: dict[str, float]) -> str | None:
-    """The path of the highest score; of equal ones the shortest, then the first by name."""
-    return min(scores, key=lambda p: (-scores[p], len(p), p)) if scores else None
+def spelled(names: list[str], parents: list[int], node: int) -> str:
+    out = []
+    while node > 0:
+        out.append(names[node])
+        node = parents[node]
+    return ">".join(reversed(out))
+
+
+def text_inside(parents: list[int], blocks: list[tuple[int, bool, str]], node: int | None) -> str:
+    """The text inside the containers of a path; all of the page's, if None."""
+    if node is None:
+        return "\n".join(text for _, _, text in blocks)
+    inside = [False] * len(parents)
+    for i in range(len(parents)):
+        inside[i] = i == node or (i > 0 and inside[parents[i]])
+    return "\n".join(text for at, aside, text in blocks if inside[at] and not aside)
 
 
 def host_of(url: str):
     return F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path, votes: the path that each host's pages elect. A page's votes are its scores in thousandths of its best."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row for each row of ``pages``: page_id, host, its paths' names and parents, its blocks, the votes it gives and the number of its own best path.
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A page's votes are its scores in thousandths of its best. Its best path is that of the highest score; of equal ones the shortest, then the least digest.
+    """
+    schema = T.StructType([
+        T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("host", T.StringType()), T.StructField("best", T.IntegerType()),
+        T.StructField("names", T.ArrayType(T.StringType())), T.StructField("parents", T.ArrayType(T.IntegerType())),
+        T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("aside", T.ArrayType(T.BooleanType())), T.StructField("texts", T.ArrayType(T.StringType())),
+        T.StructField("votes", T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("length", T.IntegerType()), T.StructField("node", T.IntegerType()), T.StructField("votes", T.LongType())]))),
+    ])
+    vote = pa.list_(pa.struct([("key", pa.binary()), ("length", pa.int32()), ("node", pa.int32()), ("votes", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, given = [], [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                scores = Page(source.as_py() or "").scores()
-                most = max(scores.values(), default=0.0)
-                for path, score in scores.items():
-                    if score > 0:
-                        hosts.append(host), paths.append(path), given.append(round(1000 * score / most))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(given, pa.int64())], names=["host", "path", "votes"])
+            # a few pages at a time, so that a batch of long ones isn't held twice
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                columns: list[list] = [[] for _ in range(7)]
+                for source in part.column(2):
+                    page = Page(source.as_py() or "")
+                    scores = page.scores()
+                    keys, lengths = (page.keys(), page.lengths()) if scores else ([], [])
+                    most = max(scores.values(), default=0.0)
+                    best = min(scores, key=lambda n: (-scores[n], lengths[n], keys[n])) if scores else None
+                    given = [{"key": keys[n], "length": lengths[n], "node": n, "votes": round(1000 * score / most)} for n, score in scores.items() if score > 0]
+                    at, aside, texts = ([b[i] for b in page.blocks] for i in range(3))
+                    for column, value in zip(columns, (best, page.names, page.parents, at, aside, texts, given)):
+                        column.append(value)
+                kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()), vote)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=schema.names)
+
+    return pages.select("page_id", host_of("url").alias("host"), "html").mapInArrow(run, schema)
 
-    counted = pages.select(host_of("url").alias("host"), "html").filter("host <> ''").mapInArrow(votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    top = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.length("path"), F.col("path").alias("path"))).alias("top"))
-    return top.select("host", F.col("top.path").alias("path"), (-F.col("top.v")).alias("votes"))
+
+def winning_paths(trees: DataFrame) -> DataFrame:
+    """host, key, votes: the path that each host's pages elect, of ``trees`` as from :func:`parsed`; of equal ones the shortest, then the least digest."""
+    counted = trees.filter("host <> ''").select("host", F.inline("votes")).groupBy("host", "key").agg(F.sum("votes").alias("votes"), F.min("length").alias("length"))
+    top = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "length", "key")).alias("top"))
+    return top.select("host", F.col("top.key").alias("key"), (-F.col("top.v")).alias("votes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -156,23 +214,44 @@ def extract(pages: DataFrame) -> DataFrame:
 
     path is the container used: the host's winner or, on a page without it or without text in it, or without a host, the page's own best; null
     if no container has running text, and then text is all of the page's text. Null and empty pages have the text ''. Repeated
-    rows vote each and are extracted alike; other columns are not read.
+    rows vote each and are extracted alike; other columns are not read. Where the winners are
+    too many to broadcast, the parsed pages, not the HTML, are moved to them, a host's pages spread over ``SALTS`` places.
     """
-    winners = written(winning_paths(pages).select(F.col("host").alias("__host"), F.col("path").alias("winner")), "winning-paths")
-    joined = pages.select("page_id", host_of("url").alias("host"), "html").join(winners, F.col("host") == F.col("__host"), "left").select("page_id", "host", "winner", "html")
+    trees = written(parsed(pages), "page-trees")
+    winners = written(winning_paths(trees).select(F.col("host").alias("__host"), F.col("key").alias("winner"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")), "winning-paths")
+    salted = trees.withColumn("own", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    joined = salted.join(winners, (F.col("host") == F.col("__host")) & (F.col("own") == F.col("__salt")), "left")
+    # the winner's place on the page, where it gave it votes
+    node = F.get(F.filter("votes", lambda v: v["key"] == F.col("winner")), 0)["node"]
+    joined = joined.select("page_id", "host", node.alias("won"), "best", "names", "parents", "at", "aside", "texts", F.col("winner").isNotNull().alias("elected"), "winner")
     schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), *(T.StructField(n, T.StringType()) for n in ("host", "path", "text"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, texts = [], []
-            for winner, source in zip(batch.column(2).to_pylist(), batch.column(3)):
-                page = Page(source.as_py() or "")
-                text = page.text(winner) if winner is not None else ""
-                path = winner
-                if not text:
-                    path = best(page.scores())
-                    text = page.text(path)
-                paths.append(path), texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=schema.names)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                paths, texts = [], []
+                for won, best, names, parents, at, aside, own, elected, winner in zip(*[part.column(i).to_pylist() for i in range(2, 11)]):
+                    blocks = list(zip(at, aside, own))
+                    if won is None and elected:
+                        won = _node_of(names, parents, winner)
+                    text = text_inside(parents, blocks, won) if won is not None else ""
+                    node = won
+                    if not text:
+                        node, text = best, text_inside(parents, blocks, best)
+                    paths.append(None if node is None else spelled(names, parents, node)), texts.append(text)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+def _node_of(names: list[str], parents: list[int], key: bytes) -> int | None:
+    """The path of that digest, which need not have had votes on this page."""
+    digests = [b""]
+    if key == b"":
+        return 0
+    for i in range(1, len(names)):
+        digests.append(blake2b(digests[parents[i]] + names[i].encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        if digests[i] == key:
+            return i
+    return None
