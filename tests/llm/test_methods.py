@@ -3,7 +3,10 @@
 import base64
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -11,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from ledgerloom.llm import decontaminate, fingerprints, linededup, mixing, neardup, sharding, textarrays as ta, tokenbin, tokencount, toxicity, webtext
@@ -388,6 +392,90 @@ def test_consensus_paths(spark):
     assert got[50]["text"] == "Alone, but there is a text & more of it."
 
 
+def random_page(rng, deepest=6):
+    def node(depth):
+        kind = rng.choice(["div", "section", "article", "nav", "aside", "p", "li", "h2", "td"])
+        classes = rng.choice(["", "", ' class="main"', ' class="c-17 body"', " class=side"])
+        inner = " ".join(rng.choice(fx.WORDS) + rng.choice(["", ",", "."]) for _ in range(rng.choice([0, 3, 12, 40])))
+        link = "<a href=x>" + " ".join(rng.choices(fx.WORDS, k=6)) + "</a>" if rng.random() < 0.3 else ""
+        inside = "".join(node(depth + 1) for _ in range(rng.choice([0, 1, 2]))) if depth < deepest and kind not in ("p", "li", "h2", "td") else ""
+        return f"<{kind}{classes}>{inner}{link}{inside}</{kind}>"
+
+    return "<html><body>" + "".join(node(0) for _ in range(4)) + "</body></html>"
+
+
+class Tree(HTMLParser):
+    """Brute force: every container is an object that holds its whole path."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.open, self.blocks, self.text, self.links, self.in_link = [("", "", False)], [], "", 0, False
+        self.feed(source), self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append(([o[1] for o in self.open], any(o[2] for o in self.open), text, min(self.links, len(text))))
+        self.text, self.links = "", 0
+
+    def handle_data(self, data):
+        self.text += data
+        self.links += len(data) * self.in_link
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "a":
+            self.in_link = True
+            return
+        self.flush()
+        kinds = sorted(k for k in (re.sub(r"\d+", "", c).strip("-_") for c in (dict(attributes).get("class") or "").split()) if k)
+        path = self.open[-1][1]
+        if tag not in ("p", "li", "h2", "html", "body"):
+            path = ">".join(filter(None, [path, ".".join([tag, *kinds])]))
+        self.open.append((tag, path, tag in ("nav", "aside")))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.in_link = False
+            return
+        self.flush(), self.open.pop()
+
+    def scores(self):
+        out = defaultdict(float)
+        for paths, aside, text, links in self.blocks:
+            distinct = [p for i, p in enumerate(paths) if i == 0 or p != paths[i - 1]]
+            if not aside and len(text) >= webtext.LEAST_CHARS:
+                gain = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+                for path, share in zip(distinct[::-1], (1, 0.5)):
+                    out[path] += gain * share
+        return out
+
+
+def test_extraction_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, f"http://host{i % 7}.example/{i}", random_page(rng)) for i in range(80)] + [(80, None, random_page(rng))]
+    trees, votes = {r[0]: Tree(r[2]) for r in rows}, defaultdict(Counter)
+    for i, _, _ in rows[:80]:
+        scores = trees[i].scores()
+        for path, score in scores.items():
+            votes[i % 7][path] += round(1000 * score / max(scores.values()))
+    got = {r["page_id"]: r for r in webtext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    inside = lambda tree, path: "\n".join(t for paths, aside, t, _ in tree.blocks if path in paths and not aside)
+    for i in range(81):
+        tree, own = trees[i], trees[i].scores()
+        elected = {p for p, v in votes[i % 7].items() if v == max(votes[i % 7].values())} if i < 80 else set()
+        best = {p for p, v in own.items() if abs(v - max(own.values())) < 1e-9} or {None}
+        path = got[i]["path"]
+        assert path in (elected if any(inside(tree, p) for p in elected) else best), (i, path, elected, best)
+        assert got[i]["text"] == ("\n".join(t for _, _, t, _ in tree.blocks) if path is None else inside(tree, path))
+
+
+def test_very_deep_pages_and_stray_end_tags():
+    text = "running text, of some length, in the deepest place of all"
+    for source in ("<div>" * 60_000 + text + "</div>" * 60_000, "<div>" * 60_000 + "</section>" * 60_000 + text, f"<div class=a>{text} one</div>" * 60_000):
+        page = webtext.Page(source)
+        assert page.scores() and len(page.keys()) == len(page.names) and len(page.names) <= 60_001
+
+
 # 9 sharding
 
 
@@ -402,6 +490,17 @@ def test_few_records_move(spark):
         sharding.shard(docs, {"a": 0.0})
 
 
+def test_a_hot_key_fills_no_single_partition(spark):
+    docs = fx.frame(spark, [(7 if i % 3 else i, f"t {i}", "en", "a", 0) for i in range(6000)]).repartition(8)
+    out = sharding.shard(docs, {"a": 1.0, "b": 3.0}, pieces=8)
+    sizes = Counter((r["shard"], r["piece"]) for r in out.select("shard", F.spark_partition_id().alias("piece")).collect())
+    assert out.rdd.getNumPartitions() == 16 and out.columns == [*docs.columns, "shard"] and len({s for s, _ in sizes if s == "a"}) == 1
+    assert len(sizes) == 16 and len({p for _, p in sizes}) == 16
+    for name in "ab":
+        own = [n for (s, _), n in sizes.items() if s == name]
+        assert max(own) < 1.5 * sum(own) / len(own)
+
+
 # 10 lines
 
 
@@ -410,8 +509,8 @@ def deduped(rows):
     for doc, text in sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
         kept = []
         for line in (text or "").split("\n"):
-            bare = line.strip(" ")
-            if len([w for w in bare.split(" ") if w]) < linededup.MIN_WORDS or bare not in seen:
+            bare = line.strip(linededup.WHITE)
+            if not bare or bare not in seen:
                 kept.append(line)
             seen.add(bare)
         out[doc] = "\n".join(kept)
@@ -422,11 +521,35 @@ def deduped(rows):
 def test_lines_against_brute_force(spark, batches, fanout):
     rng = random.Random(11)
     pool = [fx.prose(i, rng.choice([1, 3, 6, 12])) for i in range(60)]
-    rows = [(i * 3, "\n".join(rng.choice(pool) + " " * rng.choice([0, 0, 2]) for _ in range(rng.choice([1, 5, 12]))), "en", "a", 0) for i in range(150)] + [(None, pool[0] + "\n" + pool[1], "en", "a", 0), (1, None, "en", "a", 0), (2, "", "en", "a", 0)]
+    rows = [(i * 3, "\n".join(rng.choice(pool) + rng.choice(["", "", "  ", "\r", "\t\u00a0"]) for _ in range(rng.choice([1, 5, 12]))), "en", "a", 0) for i in range(150)] + [(None, pool[0] + "\n" + pool[1], "en", "a", 0), (1, None, "en", "a", 0), (2, "", "en", "a", 0)]
     got = {r["doc_id"]: r["text"] for r in linededup.deduped_lines(fx.frame(spark, rows), batches=batches, fanout=fanout, buckets=4).collect()}
     assert got == deduped(rows)
 
 
+def test_runs_take_batch_after_batch(spark, tmp_path):
+    rng = random.Random(12)
+    pool = [fx.prose(i, rng.choice([1, 3, 6])) for i in range(40)]
+    batches = [[(f"d{b:02d}-{i:02d}", "\n".join(rng.choices(pool, k=5) + [f"own line {b} {i}"])) for i in range(6)] for b in range(8)]
+    folder, got = f"file://{tmp_path}/runs", {}
+    for batch in batches:
+        # a new object each time, as in a later session: all it knows is the folder
+        runs = linededup.Runs(spark, folder, buckets=4, fanout=2)
+        got |= {r["doc_id"]: r["text"] for r in runs.take(spark.createDataFrame(batch, "doc_id string, text string")).collect()}
+    assert got == deduped([r for batch in batches for r in batch])
+    assert runs.seq == 8 and len(runs.paths()) < 5 and len(list((tmp_path / "runs").glob("run-*"))) == len(runs.paths())
+    again = linededup.Runs(spark, folder).take(spark.createDataFrame([("z", batches[0][0][1] + "\nnever seen")], "doc_id string, text string")).first()
+    assert again["text"] == "never seen" and again["n_removed"] == 6
+    runs.drop()
+    assert not (tmp_path / "runs").exists()
+
+
+def test_lines_of_a_very_long_text(spark):
+    rows = [(1, "\n".join(["same line"] * 60_000), "en", "a", 0), (2, "\n".join(f"line {i}" for i in range(200_000)), "en", "a", 0), (3, "line 5\n\n  \nsame line", "en", "a", 0)]
+    began = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linededup.deduped_lines(fx.frame(spark, rows)).collect()}
+    assert got == {1: ("same line", 60_000, 59_999), 2: (rows[1][1], 200_000, 0), 3: ("\n  ", 4, 2)} and time.time() - began < 120
+
+
 def test_ranks_file_is_the_reference():
     with open(tokencount.RANKS_PATH, "rb") as f:
         first = f.readline().split()
