@@ -6,8 +6,8 @@ finds all maximal segments of a text, and extreme-value statistics (Karlin and A
 tell how many segments of such a score a clean text of that length would have by chance. The segments of a
 document are aggregated into one p-value by the sum statistic.
 
-A word's occurrences are counted by distinct context (the words beside it), so that many
-copies of one document don't make its rare words look toxic.
+In toxic documents a word counts once for each distinct context (the words beside it), so that many near
+copies of one don't make its rare words look toxic; in clean ones each occurrence counts. Exact copies count once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textarrays as ta
+from .workspace import mark, release, written
 
 #: At most so many labelled documents of either class are used to fit, chosen by the hash of their doc_id.
 MAX_LABELLED = 10_000
@@ -132,12 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
     A word of shrunken log-odds below ``least_log_odds`` counts like any other. Labels other than 0 and 1, null ids and labels without a document are passed over; of conflicting labels toxic wins.
     Without both classes, or if no word stands out, the model has no words and rejects nothing.
     """
-    spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for c in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text").dropDuplicates()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(0).to_numpy()
             for lo, hi in ta.groups(batch.column(1)):
@@ -147,24 +147,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pr
                 near = np.zeros(len(hashes), np.uint64)
                 near[1:] += hashes[:-1]
                 near[:-1] += hashes[1:] * np.uint64(3)
-                bit = np.uint64(1) << (ta.mix(near) & np.uint64(63))
-                kind = np.repeat(toxic[lo:hi], counts)
-                order = np.lexsort((hashes, kind))
-                h, c = hashes[order], kind[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(c[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(h)))), pa.array(np.bitwise_or.reduceat(bit[order], new).view(np.int64))], names=["word", "toxic", "n", "contexts"])
-
-    free = 64 - F.bit_count("contexts")
+                context, kind = ta.mix(near), np.repeat(toxic[lo:hi], counts)
+                order = np.lexsort((context, hashes, kind))
+                h, x, c = hashes[order], context[order], kind[order]
+                # a clean word needs no contexts of its own, all count as one
+                x[c == 0] = 0
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (c[1:] != c[:-1])))
+                n = np.diff(np.append(new, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(x[new].view(np.int64)), pa.array(c[new].astype(np.int32)), pa.array(n)], names=["word", "context", "toxic", "n"])
+
+    of = lambda c, x: F.sum(F.when(F.col("toxic") == c, x).otherwise(0.0))
     by_word = (
-        sample.mapInArrow(count, "word long, toxic int, n long, contexts long")
-        .groupBy("word", "toxic").agg(F.sum("n").alias("n"), F.bit_or("contexts").alias("contexts"))
-        .withColumn("y", F.when(free > 0, F.least(F.col("n").cast("double"), -64 * F.log(free / 64.0))).otherwise(F.col("n").cast("double")))
-        .groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("y")).otherwise(0.0)).alias(name) for c, name in ((1, "t"), (0, "c"))])
+        sample.mapInArrow(contexts, "word long, context long, toxic int, n long")
+        .groupBy("word", "toxic", "context").agg(F.sum("n").cast("double").alias("n"))
+        .groupBy("word").agg(of(1, F.lit(1.0)).alias("t"), of(1, F.col("n")).alias("all_t"), of(0, F.col("n")).alias("c"))
     )
-    from .workspace import written
-
+    begun = mark()
     by_word = written(by_word, "toxic-words")
-    n_t, n_c, n_words = (float(x or 0) for x in by_word.agg(F.sum("t"), F.sum("c"), F.count("*")).first())
+    try:
+        return _model(by_word, prior, least_log_odds)
+    finally:
+        release(docs.sparkSession, begun)
+
+
+def _model(by_word: DataFrame, prior: float, least_log_odds: float) -> Model:
+    """The model from ``by_word``: word, its distinct contexts t and occurrences all_t in toxic documents, its occurrences c in clean ones."""
+    n_t, n_c, n_words = (float(x or 0) for x in by_word.agg(F.sum("all_t"), F.sum("c"), F.count("*")).first())
     if not n_t or not n_c:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0)
     a_t, a_c = prior * n_t / (n_t + n_c), prior * n_c / (n_t + n_c)
@@ -189,7 +197,7 @@ def _judge(model: Model, column: pa.Array, p_doc: float, e_passage: float) -> It
     ends = np.cumsum(counts)
     row = np.searchsorted(ends, at, "right")
     for r in np.unique(row):
-        mine = np.flatnonzero(row == r) if len(row) < 64 else np.arange(np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right"))
+        mine = slice(*np.searchsorted(row, [r, r + 1]))
         start, n = int(ends[r] - counts[r]), int(counts[r])
         found = segments((at[mine] - start).tolist(), scores[mine].tolist(), model.other)
         good = [s for s in found if model.k * n * math.exp(-model.lam * s[2]) <= e_passage]
