@@ -122,6 +122,25 @@ def test_decontamination_against_brute_force(spark, index_bytes):
     assert kept == {r[0] for r in rows} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("index_bytes", [decontaminate.INDEX_BYTES, 0])
+def test_items_shorter_than_a_shingle_match_as_they_are(spark, index_bytes):
+    tests = [(1, "Forty-two"), (2, "the blue whale"), (3, "river of stone"), (4, "...")]
+    rows = [(1, "It said forty two!", "en", "a", 0), (2, "the blue whale", "en", "a", 0), (3, "the whale, blue. A river of stones", "en", "a", 0), (4, "two forty the", "en", "a", 0), (5, "of the blue whale, the blue whale", "en", "a", 0), (6, "forty", "en", "a", 0)]
+    found = decontaminate.contaminated(fx.frame(spark, rows), fx.items(spark, tests), index_bytes=index_bytes)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1.0), (2, 2, 1.0), (5, 2, 1.0)]
+    assert {r[0] for r in decontaminate.remove_contaminated(fx.frame(spark, rows), fx.items(spark, tests), index_bytes=index_bytes).select("doc_id").collect()} == {3, 4, 6}
+
+
+def test_a_match_does_not_depend_on_the_neighbours():
+    rng = random.Random(9)
+    tests = [fx.prose(100 + i, rng.choice([6, 20, 90, 300])) for i in range(40)]
+    texts = [" ".join([fx.prose(500 + i, rng.choice([0, 3, 50, 700])), changed(tests[i % 40], rng.choice([0, 0.05]), i), fx.prose(900 + i, rng.choice([0, 40]))]) for i in range(80)]
+    index = decontaminate.ItemIndex(tests, decontaminate.SHINGLE, decontaminate.THRESHOLD, decontaminate.RECALL)
+    together = set(zip(*[x.tolist() for x in index.matches(pa.array(texts))[:2]]))
+    alone = {(i, int(j)) for i, t in enumerate(texts) for j in index.matches(pa.array([t]))[1]}
+    assert together == alone and len(alone) > 50
+
+
 # 3 mixing
 
 
@@ -227,6 +246,49 @@ def test_rare_toxic_words_of_a_small_language(spark):
     assert sum(got[i] for i in bad_rows) >= 0.7 * len(bad_rows) and sum(got[i] for i in clean_rows) <= 0.02 * len(clean_rows)
 
 
+def test_scores_are_shrunken_log_odds(spark):
+    rng = random.Random(15)
+    rows = [(i, fx.prose(i, 40) + (f" {rng.choice(fx.WORDS)} grubface {rng.choice(fx.WORDS)} end" if i % 3 == 0 or i % 50 == 1 else ""), "en", "a", 0) for i in range(300)]
+    rows += [(1000 + i, rows[0][1], "en", "a", 0) for i in range(50)]  # copies count once
+    rows += [(2000 + i, "again and again the same grubface is here", "en", "a", 0) for i in range(3)] + [(2010 + i, f"the same grubface is {i}", "en", "a", 0) for i in range(30)]  # one context
+    marks = [(r[0], 1, int(r[0] % 3 == 0 or r[0] >= 1000)) for r in rows]
+    contexts, total, clean = set(), [0, 0], 0
+    for text, toxic in {(r[1], m[2]) for r, m in zip(rows, marks)}:
+        words = word_list(text)
+        total[toxic] += len(words)
+        for i, w in enumerate(words):
+            if w == "grubface":
+                clean += not toxic
+                if toxic:
+                    contexts.add((words[i - 1], words[i + 1]))
+    model = toxicity.fit(fx.frame(spark, rows), fx.labels(spark, marks), prior=2.0, least_log_odds=1.0)
+    a_c, a_t = (2 * n / sum(total) for n in total)
+    hashes, _ = ta.words(pa.array(["grubface"]))
+    at, scores = model.hits(hashes)
+    assert len(at) == 1 and abs(scores[0] - (math.log((len(contexts) + a_t) / a_t) - math.log((clean + a_c) / a_c))) < 1e-9
+
+
+def test_lambda_k_and_p_values_against_simulated_clean_texts():
+    rng = np.random.default_rng(8)
+    p, scores, other = np.array([0.004, 0.003, 0.002]), np.array([2.5, 3.5, 4.5]), -0.15
+    lam = toxicity.null_lambda(p, scores, other)
+    assert abs((p * np.exp(lam * scores)).sum() + (1 - p.sum()) * math.exp(lam * other) - 1) < 1e-9 and lam > 0.01
+    k = toxicity.null_k(p, scores, other, lam)
+    n, best, chances = 400, [], []
+    for _ in range(1500):
+        draw = rng.random(n)
+        at = np.flatnonzero(draw < p.sum())
+        own = scores[np.searchsorted(np.cumsum(p), draw[at], "right")]
+        found = [s for _, _, s in toxicity.segments(at.tolist(), own.tolist(), other)]
+        best.append(max(found, default=0.0)), chances.append(toxicity.p_value(found, n, lam, k))
+    best, chances = np.array(best), np.array(chances)
+    for x in np.quantile(best, [0.8, 0.95]):
+        # of clean texts about 1 - exp(-K n e^(-lambda x)) have a segment of at least x
+        assert 0.4 < (1 - math.exp(-k * n * math.exp(-lam * x))) / (best >= x).mean() < 2.5
+    for level in (0.1, 0.02):
+        assert (chances <= level).mean() <= 1.5 * level + 0.01
+
+
 def test_no_model_without_both_classes(spark):
     docs = fx.frame(spark, [(i, fx.prose(i, 50), "en", "a", 0) for i in range(20)])
     for marks in ([], [(1, 1, 0)], [(1, 1, 1)]):
