@@ -4,14 +4,17 @@ A sketch has 128 buckets. Each keeps, of the least shingle hash that fell into i
 leading zeros (6 bits) and the next 10 bits (the mantissa), 16 bits in all. Bands of four registers that
 agree make two documents candidates; the Jaccard similarity estimated from the whole
 sketches, corrected for registers that agree by chance, thins them out, and the rest are verified on their
-shingle sets. The groups are the connected components of the verified pairs.
+sets of 64-bit shingle hashes. Documents with the same words, by 128 bits of their sequence, are one unit from the start. The groups are the connected components of the verified pairs.
 
 Of a band's members, each is first compared with the least one alone, which is linear and joins most
 copies of a family; then one member of each component so found is compared with those of every other component in
 the band, which joins most families. In the bands that still hold several components every member is at last compared with every member of
 the others, so that no two candidates in different groups go unverified. The second and the last comparison take place where the band's rows, with their sketches, have been brought
-together, so that only pairs that look similar are ever written; a band of many rows is cut into blocks, and each two blocks
-that don't lie wholly within one component are compared in a place of their own.
+together, so that only pairs that look similar are ever written; a band of many rows is cut into blocks, a large component's own or
+shared by small ones, and each two blocks that don't belong to one component are compared in a place of their own.
+
+Least members, sizes and hubs are found by aggregations, which combine before they shuffle, and joined back, where adaptive execution splits hot keys; no
+band, component or group of copies is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import textarrays as ta
 from .fingerprints import bin_minima
-from .workspace import free_name, written
+from .workspace import free_name, mark, release, written
 
 BUCKETS, MANTISSA, ROWS, SHINGLE, THRESHOLD = 128, 10, 4, 3, 0.5
 #: Rows of a band that are compared in one place; the result doesn't depend on it.
@@ -81,10 +84,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - expected_collisions(n, m)) / used, 0, 1), used
 
 
+def identity(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """128 bits of each row's whole sequence of words, 0 for a row without words."""
+    second = ta.mix(hashes * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545F4914F6CDD1D))
+    return ta.fixed_binary(np.stack([ta.sequence_hash(hashes, counts), ta.sequence_hash(second, counts)], axis=1))
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, n, sketch, keys by row. uid: the hash of the sequence of words, the same for exact copies."""
+    """doc_id, same, n, sketch, keys by row. same: the identity of the sequence of words."""
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("uid", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
 
@@ -98,26 +107,25 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 row, key = band_keys(regs, minima)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))
-                uid = ta.sequence_hash(hashes, n_words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(uid), pa.array(counts), ta.fixed_binary(regs), keys], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), identity(hashes, n_words), pa.array(counts), ta.fixed_binary(regs), keys], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """uid and the ascending distinct shingle hashes, cut to 32 bits, of every row that has words."""
+    """same and the ascending distinct shingle hashes of every row that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in ta.groups(batch.column(0)):
                 hashes, n_words = ta.words(batch.column(0).slice(lo, hi - lo))
                 shingles, counts = ta.shingles(hashes, n_words, SHINGLE)
-                values, counts = ta.distinct_by_row(shingles >> np.uint64(32), counts)
+                values, counts = ta.distinct_by_row(shingles, counts)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                shingle_sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ta.sequence_hash(hashes, n_words).view(np.int64)), shingle_sets], names=["uid", "shingles"])
+                shingle_sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([identity(hashes, n_words), shingle_sets], names=["same", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "uid long, shingles array<int>")
+    return docs.select("text").mapInArrow(run, "same binary, shingles array<long>")
 
 
 def _promising(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -167,21 +175,30 @@ def similar_rows(group: np.ndarray, part: np.ndarray, own: np.ndarray, inner: np
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
+def _cells(parts: DataFrame, block: int) -> DataFrame:
+    """key, i, j, part, own, uid: each row of ``parts`` (key, part, uid) in every cell (i, j), i <= j, of two blocks in which it may meet another part.
+
+    A part of more than ``block`` rows of a key has blocks of its own, which don't meet each other; the other parts share blocks, by hash.
+    """
+    spread = lambda x, n: F.pmod(F.xxhash64(x), n).cast("int")
+    of_part = parts.groupBy("key", "part").agg(F.count("*").alias("rows"))
+    is_large = F.col("rows") > block
+    of_key = of_part.groupBy("key").agg(F.sum(F.when(is_large, 0).otherwise(F.col("rows"))).alias("small"), F.sum(F.when(is_large, F.ceil(F.col("rows") / block)).otherwise(0)).cast("int").alias("of_large"))
+    of_key = of_key.withColumn("shared", F.ceil(F.col("small") / block).cast("int")).select("key", "shared", (F.col("shared") + F.col("of_large")).alias("blocks"))
+    # a key's large parts are at most its rows by ``block``
+    large = of_part.filter(is_large).withColumn("wide", F.ceil(F.col("rows") / block).cast("int"))
+    large = large.withColumn("first", F.sum("wide").over(W.partitionBy("key").orderBy("part")) - F.col("wide")).select("key", "part", "wide", F.col("first").cast("int"))
+    rows = parts.join(of_key, "key").join(large, ["key", "part"], "left")
+    rows = rows.withColumn("own", F.when(F.col("wide").isNull(), spread("part", F.greatest("shared", F.lit(1)))).otherwise(F.col("shared") + F.col("first") + spread("uid", F.col("wide"))))
+    begin = F.col("shared") + F.col("first")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("wide").isNull() | (j < begin) | (j >= begin + F.col("wide")))
+    return rows.select("key", "part", "uid", "own", F.inline(F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))))
+
+
 def _promising_in_bands(parts: DataFrame, units: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b), a < b, of rows of the same key and different parts that look similar. ``parts``: key, part, uid, n (rows of the key)."""
-    ordered = parts.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("part", "uid")) - 1)
-    of_part = W.partitionBy("key", "part")
-    ordered = ordered.withColumn("first", F.min("at").over(of_part)).withColumn("last", F.max("at").over(of_part))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    # the blocks from ``pure`` to ``mixed`` - 1 hold rows of this part alone and needn't meet each other
-    mixed = F.when(F.col("last") == F.col("n") - 1, F.col("blocks")).otherwise(F.floor((F.col("last") + 1) / block))
-    ordered = ordered.withColumn("blocks", blocks).withColumn("own", F.floor(F.col("at") / block).cast("int")).withColumn("pure", F.ceil(F.col("first") / block)).withColumn("mixed", mixed)
-    within = lambda j: (j >= F.col("pure")) & (j < F.col("mixed"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: ~(within(F.col("own")) & within(j)))
-    cells = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    rows = ordered.select("key", "part", "uid", "own", F.inline(cells))
+    """The pairs (a, b), a < b, of rows of the same key and different parts that look similar. ``parts``: key, part, uid."""
     sketches = units.select("uid", F.col("n").alias("size"), "sketch")
-    rows = rows.join(sketches, "uid").select("key", "i", "j", "part", "own", "uid", "size", "sketch")
+    rows = _cells(parts, block).join(sketches, "uid").select("key", "i", "j", "part", "own", "uid", "size", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -228,17 +245,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex but the least one of each component of the edges (a, b); roots are least vertices.
 
-    Alternates large-star and small-star steps until nothing changes; each step's result is a written table.
+    Alternates large-star and small-star steps until nothing changes; each step's result is a written table, and the one before is deleted.
     """
-    state = None
+    state, begun = None, mark()
     edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).filter("v <> root").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        around = W.partitionBy("v")
-        large = both.withColumn("m", F.least(F.min("root").over(around), "v")).filter("root > v").select(F.col("root").alias("v"), F.col("m").alias("root")).distinct()
-        least = large.withColumn("m", F.min("root").over(around))
-        small = least.select(F.explode(F.array(F.struct("v", F.col("m").alias("root")), F.struct(F.col("root").alias("v"), F.col("m").alias("root")))).alias("e")).select("e.*").filter("v <> root").distinct()
+        least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("m", "v").alias("m"))
+        large = both.filter("root > v").join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).distinct()
+        nearest = large.groupBy("v").agg(F.min("root").alias("m"))
+        small = large.join(nearest, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("root")), F.struct(F.col("root").alias("v"), F.col("m").alias("root")))).alias("e")).select("e.*").filter("v <> root").distinct()
         edges = written(small, "edges")
+        release(edges.sparkSession, begun, (edges,))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "root"))).first()
         if now == state:
             return edges
@@ -246,28 +264,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labels(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and uid by row, (v, root) of the uids that are in a group with others)."""
-    sketched = written(_sketched(docs), "sketches")
-    units = written(sketched.filter("n > 0").groupBy("uid").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")]), "units")
-    by_key = W.partitionBy("key")
-    members = units.select("uid", F.explode("keys").alias("key")).withColumn("leader", F.min("uid").over(by_key)).withColumn("size", F.count("*").over(by_key)).filter("size > 1")
-    members = written(members.select("key", "uid", "leader"), "members")
-    sets = written(_sets(docs).join(members.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
+    """(row, doc_id and same of each row of ``docs``; same and root of the rows that are in a group with others)."""
+    begun = mark()
+    sketched = written(_sketched(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = written(sketched.select("row", "doc_id", "same"), "rows")
+    units = sketched.filter("n > 0").groupBy("same").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
+    units = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
+    keyed = units.select("uid", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    members = written(keyed.join(shared, "key"), "members")
+    named = units.select("same", "uid").join(members.select("uid").distinct(), "uid", "left_semi")
+    sets = written(_sets(docs).join(named, "same").groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
 
     stars = members.filter("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct()
     found = written(_verified(_promising(stars, units, threshold), sets, threshold), "pairs")
     roots = components(found)
     for every_member in (False, True):
-        named = members.join(roots, members["uid"] == roots["v"], "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
-        if every_member:
-            several = F.min("part").over(by_key) < F.max("part").over(by_key)
-            parts = named.withColumn("several", several).withColumn("n", F.count("*").over(by_key)).filter("several").drop("several")
-        else:
-            parts = named.groupBy("key", "part").agg(F.min("uid").alias("uid"))
-            parts = parts.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+        parts = members.join(roots, members["uid"] == roots["v"], "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
+        several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key")
+        parts = parts.join(several, "key", "left_semi")
+        if not every_member:
+            parts = parts.groupBy("key", "part").agg(F.min("uid").alias("uid"))
+        parts = written(parts, "parts")
         more = _verified(written(_promising_in_bands(parts, units, threshold), "more-pairs"), sets, threshold)
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return sketched.select("doc_id", "uid"), roots
+    roots = written(units.select("same", "uid").join(roots, units["uid"] == roots["v"], "left").select("same", F.coalesce("root", "uid").alias("root")), "roots")
+    release(docs.sparkSession, begun, (rows, roots))
+    return rows, roots
+
+
+def _groups(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, same and root by row; root, size and least row of each group). Rows without words are the group of root -1."""
+    rows, roots = _labels(docs, threshold)
+    named = rows.join(roots.withColumnRenamed("same", "__same"), F.col("same") == F.col("__same"), "left").select("row", "doc_id", "same", F.coalesce("root", F.lit(-1)).alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row"))
+    return named, named.groupBy("root").agg(F.count("*").alias("group_size"), least.alias("least"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,30 +309,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one row of each group, the one of least doc_id (nulls come last). Rows without words, null texts included, are copies of
     each other. Repeated rows are copies, so one of them stays. Other columns are not read.
     """
-    rows, roots = _labels(docs, threshold)
-    group = W.partitionBy("root")
-    named = rows.join(roots, rows["uid"] == roots["v"], "left").select("doc_id", "uid", F.coalesce("root", "uid").alias("root"))
-    first = group.orderBy(F.asc_nulls_last("doc_id"), "uid")
-    return named.withColumn("group_size", F.count("*").over(group)).withColumn("group_id", F.first("doc_id").over(first)).withColumn("nth", F.row_number().over(first)).select("doc_id", "group_id", "group_size", (F.col("nth") == 1).alias("keep"))
+    named, groups = _groups(docs, threshold)
+    groups = groups.select("root", "group_size", F.col("least.doc_id").alias("group_id"), F.col("least.row").alias("first"))
+    return named.join(groups, "root").select("doc_id", "group_id", "group_size", (F.col("row") == F.col("first")).alias("keep"))
 
 
 def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: one of each group."""
-    rows, roots = _labels(docs, threshold)
-    named = rows.join(roots, rows["uid"] == roots["v"], "left").select("doc_id", "uid", F.coalesce("root", "uid").alias("root"))
-    own, nth = free_name(docs, "__uid"), free_name(docs, "__nth")
-    keepers = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least")).select(F.col("least.uid").alias(own))
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: one of each group.
+
+    Null and empty texts, texts without words, repeated rows and ties are treated as there, so of all rows without words one stays. Exact copies are
+    reduced to the one of least doc_id before any of them is moved.
+    """
+    _, groups = _groups(docs, threshold)
+    own, key, place = (free_name(docs, c) for c in ("__same", "__row", "__place"))
+    keepers = groups.select(F.col("least.same").alias(own))
     at = [c.lower() for c in docs.columns].index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in ta.groups(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                uid = ta.sequence_hash(*ta.words(part.column(at))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(uid)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, identity(*ta.words(part.column(at)))], names=schema.names)
 
-    kept = docs.mapInArrow(run, schema).join(keepers, own, "left_semi")
-    others = [F.xxhash64(*[c for c in docs.columns])]
-    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(own).orderBy(F.asc_nulls_last("doc_id"), *others)))
-    return kept.filter(F.col(nth) == 1).select(*docs.columns)
+    at_place = docs.mapInArrow(run, schema).withColumn(place, F.monotonically_increasing_id())
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    first = at_place.groupBy(own).agg(F.min_by(whole, F.struct(F.col("doc_id").isNull(), "doc_id", place)).alias(key))
+    return first.join(keepers, own, "left_semi").select(*[F.col(key)[c].alias(c) for c in docs.columns])
