@@ -430,6 +430,20 @@ def test_a_block_size_changes_nothing(spark):
         assert {tuple(r) for r in neardup._promising_in_bands(parts, units, 0.5, block).collect()} == want
 
 
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000)]
+    rng = random.Random(3)
+    rng.shuffle(edges)
+    got = {r["v"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {1000 + i: 1000 for i in range(1, 61)}
+
+
+def test_identities_tell_sequences_apart():
+    texts = ["a b", "b a", "a  B!", "a b c", "", None, "a a", "a"]
+    found = neardup.identity(*ta.words(pa.array(texts))).to_pylist()
+    assert found[0] == found[2] and found[4] == found[5] == bytes(16) and len(set(found)) == 6 and all(len(f) == 16 for f in found)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(6)
     for common, own in ((900, 50), (500, 500), (0, 1000), (100, 10)):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import neardup, textarrays as ta, tokenbin, tokencount
+from ledgerloom.llm import neardup, textarrays as ta, tokenbin, tokencount, workspace
 
 from .. import compare
 from ..conftest import DATA
@@ -45,19 +45,19 @@ def test_contaminated_documents(spark):
     assert truth and found <= truth and len(found) >= 0.9 * len(truth)
 
 
-def test_pipeline_by_stages(spark):
+def test_pipeline_by_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, first = {}, docs.columns
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == first
-        path = f"/tmp/ledgerloom-stage-{name}"
-        docs.write.mode("overwrite").parquet(path)
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(path)
         docs = spark.read.parquet(path)
         rows[name] = docs.count()
     assert rows["near_dedup"] < rows["toxicity"] and rows["decontamination"] <= rows["near_dedup"] and rows["mixing"] == rows["token_binary"]
-    mixed = {r["doc_id"]: r["text"] for r in spark.read.parquet("/tmp/ledgerloom-stage-mixing").collect()}
+    mixed = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/mixing").collect()}
     counter = tokencount.Counter(tokencount.read_ranks(tokencount.RANKS_PATH))
     for r in docs.collect():
         ids = tokenbin.decode(r["n_tokens"], r["words"], r["block_words"], r["escapes"])
@@ -65,6 +65,23 @@ def test_pipeline_by_stages(spark):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first()[0] == docs.agg(F.sum("n_tokens")).first()[0]
 
 
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, kind):
+    rows = fx.odd_rows() if kind == "odd" else []
+    before = len(workspace._live)
+    fx.frame(spark, rows, clashes=True).write.parquet(f"{tmp_path}/documents.parquet")
+    fx.items(spark, [(1, "none of these words is in the texts at all"), (None, None)][: len(rows)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    fx.labels(spark, [(1, 1, 0), (None, None, 1)][: len(rows)]).write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(workspace._live) - before <= 1  # the table that the result reads
+    kept = {r["doc_id"] for r in out}
+    if kind == "empty":
+        assert out == []
+    else:
+        # of the wordless rows 2, 3, 4, 9 and a null one only the least stays, of rows 1 and 10 the least; copies come from the mixture
+        assert kept <= {1, 2, 5, 6, 7, 8, 11, 2**62, None} and kept
+
+
 def test_long_texts_are_groups_of_their_own():
     import pyarrow as pa
 
