@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, mixing, neardup, tokenbin, toxicity
-from ledgerloom.llm.workspace import written
+from ledgerloom.llm.workspace import mark, release, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """doc_id, n_tokens and packed ids of the documents that are left, a row for each copy that the mixture wants.
+
+    Null, empty and wordless texts are one group of copies, so the one of least doc_id stays, and repeated rows are copies too. Rows without doc_id stay
+    like any other and are the last to be kept of their group. Ties are broken by doc_id, then by text. Empty tables give no rows; without labels of both
+    kinds nothing is toxic, and without test items nothing is contaminated. Extra columns of documents are carried up to the last stage, whatever their names.
+    Once a stage is written the tables before it are deleted; the last stage's input stays, because the result reads it.
+    """
+    docs, begun = _table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, begun, (docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
