@@ -184,3 +184,43 @@ def grammar_tokens(chunks: DataFrame, lang: Column) -> DataFrame:
 def is_semantic(tag: Column, label: Column) -> Column:
     """Nouns, names, adjectives and verbs carry meaning; other words only if they are part of an entity."""
     return tag.isin("NN", "NNP", "JJ", "VB") | (~tag.isin("PUNCT", "DT", "IN", "CC", "PRP", "CD", "RB", "RP", "POS") & (label != "O"))
+
+
+#: The tags that a tag of the Penn set is read as; every other one counts as a noun.
+SIMPLE_TAGS = {
+    **{t: "NN" for t in ("NN", "NNS")}, **{t: "NNP" for t in ("NNP", "NNPS")}, **{t: "VB" for t in ("VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "MD")}, **{t: "JJ" for t in ("JJ", "JJR", "JJS")},
+    **{t: "RB" for t in ("RB", "RBR", "RBS", "WRB")}, **{t: "PRP" for t in ("PRP", "PRP$", "WP", "WP$", "EX")}, **{t: "DT" for t in ("DT", "PDT", "WDT")},
+    "IN": "IN", "TO": "TO", "CC": "CC", "CD": "CD", "RP": "RP", "POS": "POS", "UH": "UH", "FW": "FW", "SYM": "SYM", **{t: "PUNCT" for t in (".", ",", ":", "``", "''", "(", ")", "-LRB-", "-RRB-", "#", "$")},
+}
+
+
+def simple_tag(tag: Column) -> Column:
+    """A Penn part of speech in the short set of tags."""
+    known = F.create_map(*[x for t, s in SIMPLE_TAGS.items() for x in (F.lit(t), F.lit(s))])
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.upper(F.trim(tag)), F.lit(""))), F.lit("NN"))
+
+
+#: Whose spans go first where they overlap.
+SPAN_ORDER = ("model", "date", "currency")
+
+
+def labels_of_spans(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tok_index, ner: B- and I- labels of the tokens (keys, tok_index, start, end) that the characters of a span (keys, start, end, label, source) touch.
+
+    Spans go by source in the order of ``SPAN_ORDER``, then by their place; one that touches a token already labelled is dropped whole. Tokens and spans of one
+    sentence, by ``keys``, come together, nothing larger.
+    """
+    words = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_index", "start", "end"))).alias("__t"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SPAN_ORDER]), F.col("source")).cast("int"), F.lit(0)), F.lit(len(SPAN_ORDER) + 1))
+    found = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "label"))).alias("__s"))
+    both = words.join(found, keys, "left")
+
+    def add(labels: Column, span: Column) -> Column:
+        touches = lambda t: ~((t["end"] <= span["start"]) | (t["start"] >= span["end"]))
+        free = ~F.exists(F.arrays_zip(F.col("__t").alias("t"), labels.alias("l")), lambda x: touches(x["t"]) & (x["l"] != "O"))
+        begins = F.get(F.filter("__t", touches), 0)["tok_index"]
+        new = F.zip_with("__t", labels, lambda t, old: F.when(touches(t), F.concat(F.when(t["tok_index"] == begins, "B-").otherwise("I-"), span["label"])).otherwise(old))
+        return F.when(free, new).otherwise(labels)
+
+    labels = F.aggregate(F.coalesce("__s", F.array().cast("array<struct<rank:int,start:int,end:int,label:string>>")), F.transform("__t", lambda _: F.lit("O")), add)
+    return both.select(*keys, F.explode(F.arrays_zip(F.transform("__t", lambda t: t["tok_index"]).alias("tok_index"), labels.alias("ner"))).alias("__z")).select(*keys, "__z.*")

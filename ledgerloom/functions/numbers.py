@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import _ARABIC_DIGITS, _ASCII_DIGITS
+from .text import _ARABIC_DIGITS, _ASCII_DIGITS, is_code_like, table_normal
 
 MONEY = "decimal(18,2)"
 TOLERANCE = 0.02
-_NOT_MONEY = r"(?i)^\s*(?:[0-9]{1,4}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4}|[A-Z]{2,}[0-9]+)\s*$"
+CURRENCY_WORD = r"(?i)\b(?:aed|chf|da|dzd|eur|gbp|mad|sar|tnd|usd)\b"
+#: What makes letters, strokes or dates beside a number no hindrance.
+MONEY_HINTS = ("A PAYER", "AMOUNT", "HT", "MONTANT", "PRICE", "PRIX", "STAMP", "TAX", "TIMBRE", "TOTAL", "TTC", "TVA", "UNIT", "VAT")
+_DATE = r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"
+_LETTER = "[A-Za-zÀ-ɏ؀-ۿ]"
 
 
 def _ascii(raw: Column) -> Column:
@@ -18,8 +22,8 @@ def _ascii(raw: Column) -> Column:
 def plain_number(t: Column) -> Column:
     """One number's text, without blanks, with a decimal point only.
 
-    With both marks the later one is the decimal mark. A single mark before exactly three digits, and a mark that repeats, groups
-    thousands.
+    With both marks the later one is the decimal mark. A single comma is one if at most two digits follow, a single point always; a mark that repeats groups
+    thousands, but for a last point before at most two digits.
     """
     comma, dot = F.instr(t, ","), F.instr(t, ".")
     last_comma, last_dot = F.length(t) - F.instr(F.reverse(t), ","), F.length(t) - F.instr(F.reverse(t), ".")
@@ -27,26 +31,40 @@ def plain_number(t: Column) -> Column:
     return (
         F.when((comma > 0) & (dot > 0) & (last_comma > last_dot), F.regexp_replace(no(t, r"\."), ",", "."))
         .when((comma > 0) & (dot > 0), no(t, ","))
-        .when((comma > 0) & (t.rlike(",[0-9]{3}$") | t.rlike(",.*,")), no(t, ","))
-        .when(comma > 0, F.regexp_replace(t, ",", "."))
+        .when((comma > 0) & t.rlike("^[^,]*,[^,]{0,2}$"), F.regexp_replace(t, ",", "."))
+        .when(comma > 0, no(t, ","))
+        .when(t.rlike(r"\..*\.[^.]{0,2}$"), F.regexp_replace(t, r"\.(?=.*\.)", ""))
         .when(t.rlike(r"\..*\."), no(t, r"\."))
         .otherwise(t)
     )
 
 
 def amount(raw: Column) -> Column:
-    """The last number in a table cell as money; null for dates, codes and text without a number."""
-    text = _ascii(raw)
-    tokens = F.regexp_extract_all(text, F.lit(r"(-?[0-9]{1,3}(?: [0-9]{3})+(?:[.,][0-9]+)?|-?[0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
-    bare = F.transform(tokens, lambda t: F.replace(t, F.lit(" "), F.lit("")))
-    values = F.filter(F.transform(bare, lambda t: F.round(plain_number(t).try_cast("decimal(24,6)"), 2).cast(MONEY)), lambda v: v.isNotNull())
-    return F.when(text.rlike(_NOT_MONEY), F.lit(None).cast(MONEY)).otherwise(F.try_element_at(values, F.lit(-1)))
+    """The last number in a cell or line as money, rounded half up; else null.
+
+    Letters are allowed only beside a currency code or a word of ``MONEY_HINTS``, and so are strokes and two dashes; a date needs such a word. A code is no amount.
+    """
+    text = F.trim(F.regexp_replace(_ascii(raw), r"\s+", " "))
+
+    def of(t: Column) -> Column:
+        hinted = table_normal(t).rlike("|".join(MONEY_HINTS))
+        coined = t.rlike(CURRENCY_WORD)
+        unfit = is_code_like(t) | (t.rlike(_LETTER) & ~coined & ~hinted) | (t.rlike(_DATE) & ~hinted) | ((t.contains("/") | (F.regexp_count(t, F.lit("-")) >= 2)) & ~coined & ~hinted)
+        bare = F.regexp_replace(t, r"(?i)\b(?:aed|chf|da|dzd|eur|gbp|ht|mad|sar|tnd|ttc|tva|usd)\b", " ")
+        tokens = F.transform(F.regexp_extract_all(bare, F.lit(r"([+\-]?[0-9][0-9\s.,]*)"), F.lit(1)), lambda x: F.replace(F.trim(x), F.lit(" "), F.lit("")))
+        signed = lambda x: F.concat(F.when(x.startswith("-"), "-").otherwise(""), plain_number(F.regexp_replace(x, "^[+-]+", "")))
+        values = F.filter(F.transform(tokens, lambda x: F.round(signed(x).try_cast("decimal(24,6)"), 2).cast(MONEY)), lambda v: v.isNotNull())
+        return F.when(~unfit, F.try_element_at(values, F.lit(-1)))
+
+    return F.element_at(F.transform(F.array(text), of), 1)
 
 
 def quantity(raw: Column) -> Column:
-    """A whole number, or up to three decimals; else null."""
+    """A number without letters, strokes or a date, to three decimals; a comma is the decimal mark. Else null."""
     text = F.trim(_ascii(raw))
-    return F.when(text.rlike(r"^[0-9]+(?:[.,][0-9]{1,3})?$"), F.regexp_replace(text, ",", ".").try_cast("decimal(18,3)"))
+    unfit = text.rlike(_LETTER) | text.contains("/") | text.rlike(_DATE) | (F.regexp_count(text, F.lit("-")) >= 2)
+    bare = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.+\-]", "")
+    return F.when(~unfit & bare.rlike(r"^[+\-]?[0-9]+(?:\.[0-9]+)?$"), F.round(bare.try_cast("decimal(24,6)"), 3).cast("decimal(18,3)"))
 
 
 def money(raw: Column) -> Column:
@@ -65,4 +83,7 @@ def loose_double(raw: Column) -> Column:
 
 
 def is_numeric_like(raw: Column) -> Column:
-    return F.coalesce(raw, F.lit("")).rlike(r"^\s*[-+]?[0-9][0-9 .,]*%?\s*(?:€|\$|£|EUR|USD|DH|MAD)?\s*$")
+    """A number once all but digits, points and signs is left out; letters and codes are none."""
+    text = F.trim(_ascii(raw))
+    bare = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.+\-]", "")
+    return ~text.rlike(_LETTER) & bare.rlike(r"^[+\-]?[0-9]+(?:\.[0-9]+)?$")

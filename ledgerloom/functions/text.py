@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Letters that are an ASCII letter with marks, each with its letter; then the marks themselves, which have none and vanish."""
+    found = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212A, 0x212B]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if parts != chr(code) and parts[0].isascii() and all(unicodedata.combining(c) for c in parts[1:]):
+            found[chr(code)] = parts[0]
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+_ACCENTED, _PLAIN = _decomposed()
 _ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 _ASCII_DIGITS = "01234567890123456789"
 EMAIL = r"[\w.%+\-]+@[A-Za-z\d.\-]+\.[A-Za-z]{2,}"
 WORD = "([A-Za-z0-9_À-ɏ؀-ۿ]+)"
 
-STOPWORDS = frozenset("the and for with that this from les des une est dans pour par sur que qui pas avec der die das und ein eine ist von mit los las del para por con are was were has have had not but you all any can her his our out".split())
-SHORT_TERMS = frozenset("tva ttc iban bic rib siret vat net tax".split())
+#: Words that say nothing about what a sentence is about; compared without accents.
+STOPWORDS = frozenset("a ainsi alors an and are as at au aussi aux avec be been being by car ce corpus dans de des document documents donc dont du elle elles en est et etre file files for from he i il ils in is it je la le les leur leurs mais moi moins must ni nos notre nous of on or ou où page pages par plus pour que qui quoi sa se sera ses shall she son sont sur test tests that the they this to toi tous tout toute toutes tres très tu un une vos votre vous was we were what when where which who will with you أو إلى الى او على عن في مع من هذا هذه و chose element elements english etc every hereby herein hereinafter item items matter partie parties period subject therein thereof truc whereas".split())
+SHORT_TERMS = frozenset("dzd eur loi ttc tva usd".split())
+#: Words that are no topic.
+TOPIC_STOPWORDS = frozenset("and annex annexe are article au aux avec ce chapitre com corpus dans de des doc document documents dont du elle elles en est et etre false file files for from he http https i il ils image info it je la le les moins must nan negative net none note notes nous null org ou page pages par pdf plus positive pour que qui quoi reference references regex section sera shall she sont sur test tests text that the they this tres true très tu un une unknown valeur vous was we were what when where which who whom whose will with www you أو إلى الى او على عن في مع من هذا هذه و".split())
 HINTS = {
-    "fr": frozenset("le la les de des du un une et est en pour par sur dans avec que qui au aux ce cette ne pas plus ou".split()),
-    "en": frozenset("the of and to in is for on with that by this at from it be are was an as or not".split()),
+    "fr": frozenset("avec dans date des est facture la le les montant pour sur total tva un une".split()),
+    "en": frozenset("amount and date for in invoice is of the to total vat with".split()),
+}
+GRAMMAR_HINTS = {
+    "fr": HINTS["fr"] | frozenset("au aux ce ces cet cette de du elle elles et il ils mais nous ou sa ses son vous".split()),
+    "en": HINTS["en"] | frozenset("a also an as by from he into it its on over she that these they this those under we".split()),
 }
-CURRENCIES = (("EUR", ("€", "eur", "euro")), ("USD", ("$", "usd", "dollar")), ("GBP", ("£", "gbp", "livre sterling")), ("MAD", ("mad", "dirham", "dh")), ("TND", ("tnd", "dinar tunisien", "dt")), ("DZD", ("dzd", "dinar algerien", "da")))
+#: In the order in which they are looked for.
+CURRENCIES = (("EUR", ("eur", "€")), ("USD", ("usd", "dollar", "$")), ("GBP", ("gbp", "pound", "£")), ("DZD", ("dzd", "da", "d.a", "دج", "د.ج", "دينار")), ("AED", ("aed",)), ("SAR", ("sar",)))
+MONTHS = "aout août april august avril december decembre décembre february fevrier février january janvier juillet juin july june mai march mars may november novembre october octobre september septembre".split()
+WEEKDAYS = "dimanche friday jeudi lundi mardi mercredi monday samedi saturday sunday thursday tuesday vendredi wednesday".split()
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_ARABIC_LETTERS = "[؀-ۿݐ-ݿࢠ-ࣿ]"
 
 
 def strip_accents(text: Column) -> Column:
@@ -30,8 +55,11 @@ def classifier_normal(text: Column) -> Column:
 
 
 def term_normal(term: Column) -> Column:
-    """Lower case, accents off, straight apostrophes."""
-    return F.translate(strip_accents(F.lower(F.trim(term))), "’‘ʼ", "'''")
+    """Lower case, accents off, Latin ligatures in two, straight apostrophes."""
+    out = F.translate(strip_accents(F.lower(F.trim(term))), "’‘ʼ`", "''''")
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ĳ", "ij")):
+        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    return out
 
 
 def table_normal(text: Column) -> Column:
@@ -54,18 +82,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words without accents, in order."""
+    return words(strip_accents(text))
+
+
 def is_informative(term: Column) -> Column:
-    """No stop word, has a letter, and four characters or one of the short terms that count."""
+    """Of a plain word: no stop word, has a letter, and four characters or one of the three-letter terms that count."""
     letters = F.length(F.regexp_replace(term, r"[^A-Za-zÀ-ɏ؀-ۿ]", ""))
     return (~term.isin(*sorted(STOPWORDS))) & (letters > 0) & ((F.length(term) >= 4) | term.isin(*sorted(SHORT_TERMS)))
 
 
 def is_topic_candidate(term: Column) -> Column:
-    """3 to 48 characters, at most one underscore, no more digits than letters, no stop word."""
+    """Of a plain word: 3 to 48 characters, at most one underscore, no more digits than letters, no stop word."""
     digits = F.length(F.regexp_replace(term, "[^0-9]", ""))
     letters = F.length(F.regexp_replace(term, "[0-9_]", ""))
     underscores = F.length(F.regexp_replace(term, "[^_]", ""))
-    return F.length(term).between(3, 48) & (letters > 0) & (digits <= letters) & (underscores <= 1) & ~term.isin(*sorted(STOPWORDS))
+    return F.length(term).between(3, 48) & (letters > 0) & (digits <= letters) & (underscores <= 1) & ~term.isin(*sorted(TOPIC_STOPWORDS))
 
 
 def with_bigrams(terms: Column) -> Column:
@@ -96,31 +129,44 @@ def snippet(text: Column, start: Column, length: Column, around: int = 40) -> Co
     return F.substr(text, first, start - first + length + around)
 
 
-def hint_count(text: Column, lang: str) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-zà-ÿ]+)"), F.lit(1))
-    return F.size(F.filter(found, lambda w: w.isin(*sorted(HINTS[lang]))))
+def hint_count(latin: Column, hints: frozenset[str]) -> Column:
+    """How many of an array of lower-case words are among the hints."""
+    return F.size(F.filter(latin, lambda w: w.isin(*sorted(hints))))
 
 
 def arabic_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[؀-ۿ]"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_ARABIC_LETTERS))
 
 
-def accent_count(text: Column) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[àâäçéèêëîïôöùûüœ]"))
+def _latin_words(text: Column, head: int) -> Column:
+    return F.regexp_extract_all(F.lower(F.substring(text, 1, head)), F.lit(f"({_LATIN})"), F.lit(1))
 
 
 def language_of_layout(text: Column, head: int = 8000) -> Column:
-    """Arabic from six characters and 2 % on; else the hint words vote, accents give French one vote more, a tie is French."""
-    start = F.substring(F.coalesce(text, F.lit("")), 1, head)
-    arabic = arabic_count(start)
-    french = hint_count(start, "fr") + F.when(accent_count(start) > 0, 1).otherwise(0)
-    return F.when((arabic >= 6) & (arabic >= 0.02 * F.greatest(F.length(start), F.lit(1))), "ar").when(hint_count(start, "en") > french, "en").otherwise("fr")
+    """Arabic from six letters and 2 % on, or if there is no Latin word; else the hint words of the first ``head`` characters
+    vote, accents anywhere give French one vote more, and a tie is French. Text without Latin words is English.
+    """
+    t = F.coalesce(text, F.lit(""))
+
+    def vote(latin: Column) -> Column:
+        french = hint_count(latin, HINTS["fr"]) + F.when(F.lower(t).rlike("[èéêëàùçôîï]"), 1).otherwise(0)
+        return F.when((F.size(latin) > 0) & (french >= hint_count(latin, HINTS["en"])), "fr").otherwise("en")
+
+    def by_arabic(n: Column) -> Column:
+        return F.when(((n >= 6) & (n >= 0.02 * F.length(t))) | ((n > 0) & ~t.rlike(_LATIN)), "ar")
+
+    return F.coalesce(F.element_at(F.transform(F.array(arabic_count(t)), by_arabic), 1), F.element_at(F.transform(F.array(_latin_words(t, head)), vote), 1))
+
+
+def language_of_grammar(text: Column, head: int = 8000) -> Column:
+    """Any Arabic letter makes it Arabic; accents give French two votes, a tie is English."""
+    t = F.trim(F.coalesce(text, F.lit("")))
 
+    def vote(latin: Column) -> Column:
+        french = hint_count(latin, GRAMMAR_HINTS["fr"]) + F.when(F.lower(t).rlike("[éèêàùçôîï]"), 2).otherwise(0)
+        return F.when((F.size(latin) > 0) & (french > hint_count(latin, GRAMMAR_HINTS["en"])), "fr").otherwise("en")
 
-def language_of_grammar(text: Column) -> Column:
-    """Any Arabic character makes it Arabic; accents give French two votes, a tie is English."""
-    french = hint_count(text, "fr") + F.when(accent_count(text) > 0, 2).otherwise(0)
-    return F.when(arabic_count(text) > 0, "ar").when(french > hint_count(text, "en"), "fr").otherwise("en")
+    return F.when(t.rlike(_ARABIC_LETTERS), "ar").otherwise(F.element_at(F.transform(F.array(_latin_words(t, head)), vote), 1))
 
 
 def emails(text: Column) -> Column:
@@ -140,12 +186,31 @@ def phones(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda r: F.concat(F.when(r.startswith("+"), "+").otherwise(""), F.regexp_replace(r, "[^0-9]", ""))))
 
 
+_DAY, _MONTH = "0*([1-9]|[12][0-9]|3[01])", "0*([1-9]|1[0-2])"
+DAY_FIRST = "|".join(f"^{_DAY}{sep}{_MONTH}{sep}([0-9]{{4}})$".replace("(", "(?:") for sep in ("/", "-", r"\."))
+YEAR_FIRST = "|".join(f"^([0-9]{{4}}){sep}{_MONTH}{sep}{_DAY}$".replace("(", "(?:") for sep in ("/", "-", r"\."))
+_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
+WORD_DATE = (
+    rf"(?i)\b(?:(?:{'|'.join(sorted(WEEKDAYS, key=len, reverse=True))})\s+)?[0-9]{{1,2}}(?:er)?\s+(?:de\s+)?(?:{_NAMES})\s+[0-9]{{2,4}}\b",
+    rf"(?i)\b(?:{_NAMES})\s+[0-9]{{1,2}}(?:st|nd|rd|th)?(?:,)?\s+[0-9]{{2,4}}\b",
+)
+
+
 def first_date(text: Column) -> Column:
-    """The first day-month-year or year-month-day date whose parts are in range, as written; null without one."""
-    day, month = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
-    year = "(?:19|20)[0-9]{2}"
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), rf"\b({day}[/.\-]{month}[/.\-]{year}|{year}[/.\-]{month}[/.\-]{day})\b", 1)
-    return F.nullif(found, F.lit(""))
+    """The first token that is a day-month-year or year-month-day date in range, as dd/mm/yyyy or yyyy-mm-dd; without one the first
+    date with a month's name, as written; else null.
+    """
+    t = F.translate(F.coalesce(text, F.lit("")), _ARABIC_DIGITS, _ASCII_DIGITS)
+    tokens = F.transform(F.split(t, r"[\s,;()\[\]{}<>]+"), lambda w: F.btrim(w, F.lit(" .,:;")))
+    found = F.get(F.filter(tokens, lambda w: w.rlike(DAY_FIRST) | w.rlike(YEAR_FIRST)), 0)
+    two = lambda x: F.lpad(F.regexp_replace(x, "^0+", ""), 2, "0")
+
+    def written(date: Column) -> Column:
+        part = lambda i: F.get(F.split(date, r"[/.\-]"), i)
+        return F.when(date.rlike(DAY_FIRST), F.concat_ws("/", two(part(0)), two(part(1)), part(2))).otherwise(F.concat_ws("-", part(0), two(part(1)), two(part(2))))
+
+    named = [F.nullif(F.regexp_extract(t, rx, 0), F.lit("")) for rx in WORD_DATE]
+    return F.coalesce(F.element_at(F.transform(F.array(found), lambda d: F.when(d.isNotNull(), written(d))), 1), *[trimmed_value(n) for n in named])
 
 
 def densest_amount(text: Column) -> Column:
@@ -156,7 +221,7 @@ def densest_amount(text: Column) -> Column:
 
 
 def currency(text: Column) -> Column:
-    """The first currency, in a fixed order, one of whose names is anywhere in the text; also inside words."""
+    """The first currency, in a fixed order, one of whose names is anywhere in the text, inside words too."""
     plain = strip_accents(F.lower(F.coalesce(text, F.lit(""))))
     out = None
     for code, names in CURRENCIES:
@@ -172,12 +237,33 @@ def identifier_normal(value: Column) -> Column:
 
 
 def is_identifier_field(name: Column) -> Column:
-    return F.lower(name).rlike("(?:numero|number|num|ref|code|siret|siren|iban|bic|vat|tva|_id$|^id)")
+    """Whether a field's name has one of the words that identifiers are called by."""
+    return F.lower(F.trim(name)).rlike("id|ref|num|invoice|facture|contract|contrat|commande|order|bc|doc|dossier")
 
 
 def is_code_like(value: Column) -> Column:
-    """Letters and digits, or dashes between them; no blanks."""
-    return value.rlike(r"^[A-Za-z0-9][A-Za-z0-9/_.\-]{2,}$") & value.rlike("[0-9]")
+    """One token of letters and digits, both there, with at most six letters before a dash, stroke or underscore."""
+    v = F.translate(F.trim(value), _ARABIC_DIGITS, _ASCII_DIGITS)
+    return v.rlike("^[A-Za-z]{0,6}[-_/]?[A-Za-z0-9]{2,}$") & v.rlike("[A-Za-z]") & v.rlike("[0-9]")
+
+
+def reference_code(value: Column) -> Column:
+    """A code in upper case without other marks: three to eight digits, or letters with digits; else null."""
+    code = F.regexp_replace(F.upper(F.translate(F.trim(value), _ARABIC_DIGITS, _ASCII_DIGITS)), "[^A-Z0-9_-]", "")
+    return F.when(code.rlike("^[0-9]{3,8}$") | is_code_like(code), code)
+
+
+def compact_keyword(raw: Column) -> Column:
+    """``keyword(xN,±S,bucket)`` as a struct of keyword, count, score and bucket; any other text is a keyword alone."""
+    shape = r"^(.*?)\(x([0-9]+)(?:,([+-]?[0-9]+))?(?:,([^)]*))?\)$"
+    t = F.trim(raw)
+    part = lambda i: F.nullif(F.trim(F.regexp_extract(t, shape, i)), F.lit(""))
+    fits = t.rlike(shape)
+    return F.struct(F.when(fits, F.coalesce(part(1), t)).otherwise(F.nullif(t, F.lit(""))).alias("keyword"), F.when(fits, part(2).cast("long")).alias("count"), F.when(fits, part(3).cast("double")).alias("score"), F.when(fits, part(4)).alias("bucket"))
+
+
+def compact_keyword_text(keyword: Column, count: Column, score: Column, bucket: Column) -> Column:
+    return F.concat(keyword, F.lit("(x"), count.cast("string"), F.lit(","), F.when(score >= 0, "+").otherwise(""), score.cast("long").cast("string"), F.lit(","), bucket, F.lit(")"))
 
 
 def detected(kind: Column, text: Column) -> Column:
@@ -188,3 +274,13 @@ def detected(kind: Column, text: Column) -> Column:
         .when(kind == "date", single(first_date(text))).when(kind == "amount", single(densest_amount(text))).when(kind == "currency", single(currency(text)))
         .otherwise(F.filter(F.array(trimmed_value(text)), lambda x: x != ""))
     )
+
+
+def first_present(*columns: str) -> Column:
+    """The first column that has a value, even an empty one."""
+    return F.coalesce(*columns)
+
+
+def first_filled(*columns: str) -> Column:
+    """The first column that has more than white space, else the last one."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns[:-1]], F.col(columns[-1]))

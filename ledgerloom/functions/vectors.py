@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Terms whose hashes a worker remembers.
+_KNOWN = 200_000
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products over the shorter length."""
     n = F.least(F.size(a), F.size(b))
@@ -46,7 +50,7 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _hashed(term: str, dim: int) -> tuple[int, float]:
     digest = hashlib.blake2b(term.encode(), digest_size=16).digest()
     place, sign = struct.unpack_from(">QB", digest)
-    return place % dim, 1.0 if sign % 2 else -1.0
+    return place % dim, -1.0 if sign % 2 else 1.0
 
 
 def hashed_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataFrame:
@@ -62,6 +66,8 @@ def hashed_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataF
                 for w in words or ():
                     if w is not None:
                         if w not in known:
+                            if len(known) >= _KNOWN:
+                                known.clear()
                             known[w] = _hashed(w, dim)
                         out[row, known[w][0]] += known[w][1]
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
@@ -70,3 +76,40 @@ def hashed_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=[key, "vector"])
 
     return df.select(key, terms).mapInArrow(run, f"`{key}` {kind}, vector array<double>")
+
+
+def subword_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataFrame:
+    """key, vector: the mean of the terms' vectors, brought to length 1.
+
+    A term's vector is the sum of its hashed substrings of 3 to 5 characters, its ends marked by ``<`` and ``>``, brought to length 1.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    dim = max(64, dim)
+
+    def of_term(term: str) -> tuple[np.ndarray, np.ndarray]:
+        marked = f"<{term}>"
+        grams = [marked[i : i + n] for n in range(3, 6) for i in range(len(marked) - n + 1)] or [term]
+        places, signs = zip(*[_hashed(g, dim) for g in grams])
+        at, inverse = np.unique(places, return_inverse=True)
+        sums = np.bincount(inverse, weights=signs)
+        length = np.linalg.norm(sums)
+        return at, sums / length if length > 0 else sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for row, words in enumerate(batch.column(1).to_pylist()):
+                for w in words or ():
+                    if w:
+                        if w not in known:
+                            if len(known) >= _KNOWN:
+                                known.clear()
+                            known[w] = of_term(w)
+                        out[row, known[w][0]] += known[w][1]
+            lengths = np.linalg.norm(out, axis=1, keepdims=True)
+            out = np.round(np.divide(out, lengths, out=out, where=lengths > 0), 6)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * dim, dim), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=[key, "vector"])
+
+    return df.select(key, terms).mapInArrow(run, f"`{key}` {kind}, vector array<double>")

@@ -30,7 +30,15 @@ def rules_frame(spark: SparkSession, rules: Iterable[tuple] = RULES) -> DataFram
 
 def occurrences(normal: Column, keyword: Column) -> Column:
     """Whole-word occurrences; both sides are normalised, so a word is what stands between spaces."""
-    padded = F.concat(F.lit(" "), F.replace(normal, F.lit(" "), F.lit("  ")), F.lit(" "))
+    return padded_occurrences(padded(normal), keyword)
+
+
+def padded(normal: Column) -> Column:
+    """A normalised text with two blanks between its words and one at either end."""
+    return F.concat(F.lit(" "), F.replace(normal, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def padded_occurrences(padded: Column, keyword: Column) -> Column:
     needle = F.concat(F.lit(" "), F.replace(keyword, F.lit(" "), F.lit("  ")), F.lit(" "))
     return ((F.length(padded) - F.length(F.replace(padded, needle, F.lit("")))) / F.length(needle)).cast("int")
 
@@ -42,10 +50,13 @@ def keyword_hits(pages: DataFrame, rules: Iterable[tuple] = RULES) -> DataFrame:
     """
     rules = [(t, p, b, k) for t, p, b, k in rules]
     table = F.array(*[F.struct(F.lit(t).alias("doc_type"), F.lit(p).alias("priority"), F.lit(b).alias("bucket"), classifier_normal(F.lit(k)).alias("keyword"), F.lit(WEIGHTS[b]).alias("weight")) for t, p, b, k in rules])
-    normal = pages.select("doc_id", "page_index", classifier_normal(F.col("text")).alias("__normal"))
-    counted = normal.select("doc_id", "page_index", F.filter(F.transform(table, lambda r: F.struct(r["doc_type"].alias("doc_type"), r["priority"].alias("priority"), r["bucket"].alias("bucket"), r["keyword"].alias("keyword"), r["weight"].alias("weight"), occurrences(F.col("__normal"), r["keyword"]).alias("n"))), lambda r: r["n"] > 0).alias("hits"))
+    normal = pages.select("doc_id", "page_index", padded(classifier_normal(F.col("text"))).alias("__padded"))
+    hit = lambda r: F.struct(*[r[c].alias(c) for c in ("doc_type", "priority", "bucket", "keyword", "weight")], padded_occurrences(F.col("__padded"), r["keyword"]).alias("n"))
+    counted = normal.select("doc_id", "page_index", F.filter(F.transform(table, hit), lambda r: r["n"] > 0).alias("hits"))
     factor = F.when(F.col("page_index") == 1, FIRST_PAGE).otherwise(1.0)
-    return counted.select("doc_id", "page_index", F.inline("hits")).select("doc_id", "page_index", "doc_type", "priority", "bucket", "keyword", "n", (F.col("n") * F.col("weight") * factor).cast("int").alias("score"))
+    # outer, because below a plain generator the optimizer copies the whole expression into a filter
+    found = counted.select("doc_id", "page_index", F.inline_outer("hits")).filter("n IS NOT NULL")
+    return found.select("doc_id", "page_index", "doc_type", "priority", "bucket", "keyword", "n", (F.col("n") * F.col("weight") * factor).cast("int").alias("score"))
 
 
 def scores(pages: DataFrame, rules: Iterable[tuple] = RULES) -> DataFrame:
@@ -63,25 +74,37 @@ def with_confusion(scored: DataFrame, pages: DataFrame, confusions: dict[str, li
     return scored.join(malus, ["doc_id", "doc_type"], "left").withColumn("score", (F.col("score") - F.coalesce("malus", F.lit(0.0))).cast("int").cast("long")).drop("malus")
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """The scores with their rank: by score, then priority, then name; is_winner marks the first."""
-    order = W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("priority"), "doc_type")
-    return scored.withColumn("rank", F.row_number().over(order)).withColumn("is_winner", F.col("rank") == 1)
+def types_of(rules: Iterable[tuple] = RULES) -> list[tuple[str, int]]:
+    """(doc_type, priority) of every type that has a rule."""
+    return sorted({(t, p) for t, p, *_ in rules})
+
+
+def _ordered(docs: DataFrame, scored: DataFrame, types: list[tuple[str, int]]) -> DataFrame:
+    """doc_id, ranks: all types with their score, 0 without a hit, by score, then priority, then name. One aggregation and one join by document."""
+    one = lambda s, p, t: F.struct((-s).cast("long").alias("s"), (-p).cast("int").alias("p"), t.alias("doc_type"))
+    own = scored.groupBy("doc_id").agg(F.collect_list(one(F.col("score"), F.col("priority"), F.col("doc_type"))).alias("own"))
+    every = F.array(*[one(F.lit(0), F.lit(p), F.lit(t)) for t, p in types])
+    met = F.coalesce(F.col("own"), F.array().cast("array<struct<s:bigint,p:int,doc_type:string>>"))
+    missing = F.filter(every, lambda t: ~F.exists(met, lambda x: x["doc_type"] == t["doc_type"]))
+    return docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.array_sort(F.concat(met, missing)).alias("ranks"))
+
+
+def ranked(docs: DataFrame, scored: DataFrame, types: list[tuple[str, int]] | None = None) -> DataFrame:
+    """doc_id, doc_type, priority, score, rank, is_winner: every type of every document, types without a hit with the score 0."""
+    at = _ordered(docs, scored, types or types_of()).select("doc_id", F.posexplode("ranks").alias("at", "r"))
+    return at.select("doc_id", "r.doc_type", (-F.col("r.p")).alias("priority"), (-F.col("r.s")).alias("score"), (F.col("at") + 1).alias("rank"), (F.col("at") == 0).alias("is_winner"))
 
 
-def decisions(docs: DataFrame, scored: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN) -> DataFrame:
+def decisions(docs: DataFrame, scored: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, types: list[tuple[str, int]] | None = None) -> DataFrame:
     """doc_id, doc_type, status, top_score, second_score, margin for every document.
 
-    OK needs a score above 0, of at least the threshold and ``margin`` more than the second; the rest is REVIEW, and without any
-    score UNCLASSIFIED. One aggregation finds both best scores.
+    OK needs a score above 0, of at least the threshold and ``margin`` more than the second; everything else is UNCLASSIFIED and for REVIEW. Types without a hit
+    take part with the score 0.
     """
-    key = F.struct((-F.col("score")).alias("s"), (-F.col("priority")).alias("p"), F.col("doc_type").alias("t"))
-    best = scored.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, 2).alias("top"))
-    at = lambda i, f: F.try_element_at("top", F.lit(i))[f]
-    joined = docs.select("doc_id").join(best, "doc_id", "left")
-    top, second = F.coalesce(-at(1, "s"), F.lit(0)), F.coalesce(-at(2, "s"), F.lit(0))
+    found = _ordered(docs, scored, types or types_of())
+    top, second = -F.get("ranks", 0)["s"], F.coalesce(-F.get("ranks", 1)["s"], F.lit(0))
     ok = (top > 0) & (top >= threshold) & (top - second >= margin)
-    return joined.select("doc_id", F.when(top > 0, at(1, "t")).otherwise("UNCLASSIFIED").alias("doc_type"), F.when(ok, "OK").otherwise("REVIEW").alias("status"), top.alias("top_score"), second.alias("second_score"), (top - second).alias("margin"))
+    return found.select("doc_id", F.when(ok, F.get("ranks", 0)["doc_type"]).otherwise("UNCLASSIFIED").alias("doc_type"), F.when(ok, "OK").otherwise("REVIEW").alias("status"), top.alias("top_score"), second.alias("second_score"), (top - second).alias("margin"))
 
 
 def audit(pages: DataFrame, rules: Iterable[tuple] = RULES, most: int = 200) -> DataFrame:

@@ -71,6 +71,23 @@ def routed(decided: DataFrame, routes: dict[str, list[str]] = ROUTES, common: st
     return decided.select("doc_id", F.explode(F.array_append(own, F.lit(common))).alias("ruleset"))
 
 
+def routed_matches(pages: DataFrame, decided: DataFrame, sets: dict[str, list[tuple]], routes: dict[str, list[str]] = ROUTES, common: str = "common", around: int = 40) -> DataFrame:
+    """:func:`matches` of only those rules whose rule set a page's document is routed to, with the column ruleset.
+
+    The routes become one array for each document type, so that the pages are joined once with the decisions and never with the rules. A rule that two of a document's sets hold matches for both.
+    """
+    known = F.create_map(*[x for t, names in routes.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in [*names, common]]))]) if routes else F.lit(None).cast("map<string,array<string>>")
+    own = F.array_distinct(F.coalesce(F.try_element_at(known, F.coalesce(F.upper(F.trim("doc_type")), F.lit(""))), F.array(F.lit(common))))
+    chosen = pages.select("doc_id", "page_index", "text").join(decided.select("doc_id", own.alias("__sets")), "doc_id", "left")
+    out = None
+    for name, rules in sets.items():
+        # a scan of its own for each set, over the documents routed to it alone
+        mine = chosen.filter(F.array_contains(F.coalesce("__sets", F.array(F.lit(common))), name))
+        found = matches(mine.drop("__sets"), rules, around).withColumn("ruleset", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def merged_rules(spark: SparkSession, *layers: dict[str, str]) -> list[tuple[str, str]]:
     """Rule sets merged in order: a later one's rule replaces an earlier one of the same field. Configuration only."""
     out: dict[str, str] = {}

@@ -10,9 +10,10 @@ K1, B, TOP = 1.5, 0.75, 8
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk, term, tf; and dl, the chunk's number of words."""
-    terms = chunks.select("doc_id", "chunk", tx.words(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select("doc_id", "chunk", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "chunk", "dl", "term").agg(F.count("*").alias("tf"))
+    """doc_id, chunk, dl (the chunk's number of words), term, tf; a chunk without words has one row, of a null term."""
+    terms = chunks.select("doc_id", "chunk", tx.words(F.col("text")).alias("terms"))
+    # outer, because below a plain generator the optimizer tokenises once more in a filter
+    return terms.select("doc_id", "chunk", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).groupBy("doc_id", "chunk", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -21,10 +22,10 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     ``chunks``: doc_id, chunk, text. ``queries``: doc_id, terms (distinct words). Documents meet their query by doc_id; all
     frequencies stay within the document, so everything after the first exchange is keyed by doc_id.
     """
-    sizes = chunks.select("doc_id", "chunk", F.size(tx.words(F.col("text"))).alias("dl"))
-    about = sizes.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    wanted = queries.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = chunk_terms(chunks).join(wanted, ["doc_id", "term"])
+    terms = chunk_terms(chunks)
+    about = terms.groupBy("doc_id", "chunk").agg(F.first("dl").alias("dl")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    wanted = queries.select("doc_id", F.explode_outer(F.array_distinct("terms")).alias("term")).filter("term IS NOT NULL")
+    hits = terms.join(wanted, ["doc_id", "term"])
     hits = hits.withColumn("df", F.count("*").over(W.partitionBy("doc_id", "term"))).join(about, "doc_id")
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl")
@@ -45,8 +46,10 @@ def _quality(term):
 
 def candidate_terms(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk, term: topic candidates of a chunk, single words and pairs of neighbouring candidates, one row an occurrence."""
-    kept = F.filter(tx.words(F.col("text")), tx.is_topic_candidate)
-    return chunks.select("doc_id", "chunk", F.explode(tx.with_bigrams(kept)).alias("term"))
+    kept = F.filter(tx.plain_words(F.col("text")), tx.is_topic_candidate)
+    # named once inside the lambda, so that it is computed once however often the pairs name it
+    terms = F.element_at(F.transform(F.array(kept), tx.with_bigrams), 1)
+    return chunks.select("doc_id", "chunk", F.explode_outer(terms).alias("term")).filter("term IS NOT NULL")
 
 
 def document_topics(chunks: DataFrame, boosts: DataFrame | None = None, top: int = 12, prune: bool = True) -> DataFrame:

@@ -88,14 +88,16 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: Iterable[str
 def page_sample(n: Column, most: int = 20, head: int = 4, tail: int = 4) -> Column:
     """Page numbers to look at: all of up to ``most`` pages, else the first, the last and evenly spaced ones between."""
     inner = most - head - tail
-    middle = F.transform(F.sequence(F.lit(1), F.lit(inner)), lambda i: (head + F.floor((n - head - tail) * i / (inner + 1))).cast("int"))
+    # rounded half to even
+    middle = F.transform(F.sequence(F.lit(1), F.lit(inner)), lambda i: (head + F.bround(i * (n - head - tail) / float(inner + 1))).cast("int"))
     long = F.concat(F.sequence(F.lit(1), F.lit(head)), middle, F.sequence(n - tail + 1, n))
     return F.when(n < 1, F.array().cast("array<int>")).when(n <= most, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array_sort(F.array_distinct(long)))
 
 
 def _walk(path: str, parent: str | None, key: str, value, stop: frozenset[str], most: int) -> Iterator[tuple]:
     kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
-    yield path, parent, key, kind, value if kind == "string" else None, float(value) if kind == "number" else None, value if kind == "boolean" else None
+    exact = str(value) if kind == "number" and isinstance(value, int) and abs(value) > 1 << 53 else None  # more digits than a double holds
+    yield path, parent, key, kind, value if kind == "string" else exact, float(value) if kind == "number" else None, value if kind == "boolean" else None
     if path in stop:
         return
     if kind == "object":
@@ -107,7 +109,7 @@ def _walk(path: str, parent: str | None, key: str, value, stop: frozenset[str],
 
 
 def json_nodes(df: DataFrame, key: str, payload: str, stop: Iterable[str] = (), most: int = 64) -> DataFrame:
-    """key, nth, path, parent, name, kind, text, number, truth: every node of a JSON document, in its order.
+    """key, nth, path, parent, name, kind, text, number, truth: every node of a JSON document, in its order. text also has a whole number too long for a double.
 
     Paths begin with ``$``. Below the paths ``stop`` and in lists of more than ``most`` scalars nothing is expanded. A text
     that isn't JSON is one node of kind ``invalid``; null gives no rows.

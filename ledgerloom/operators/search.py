@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 
-MOST_WORDS, PAGE, DEEPEST, TOKEN_BUDGET = 12_000, 2_000, 50_000, 200_000
+MOST_WORDS, PAGE, TOKEN_BUDGET = 12_000, 2_000, 200_000
 
 
 def search_documents(pages: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
@@ -57,14 +57,25 @@ def token_id(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def within_budget(per_document: DataFrame, order: str, size: str, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """``per_document`` with within: whether all up to this document, in ``order``, have at most ``budget`` tokens together.
+def within_budget(per_document: DataFrame, order: str, size: str, budget: int = TOKEN_BUDGET, fan: int = 1024) -> DataFrame:
+    """``per_document`` with within: whether all up to this document, in the whole number ``order``, have at most ``budget`` tokens together.
 
-    Sums of 1024 ranges of the order come first, so that no window takes in all rows.
+    Sums go up level by level, ``fan`` ranges of the level below to one, until one range holds all, and come down as sums of all that lies before; no
+    window takes in more than ``fan`` rows.
     """
-    part = F.pmod(F.floor(F.col(order) / 1024), F.lit(1 << 40))
-    cells = per_document.groupBy(part.alias("__part")).agg(F.sum(size).alias("__n"))
-    before = cells.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.sum(size).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    both = per_document.withColumn("__part", part).join(before, "__part")
-    return both.withColumn("within", F.col("__before") + inner <= budget).drop("__part", "__before")
+    low, high = per_document.agg(F.min(order), F.max(order)).first()
+    depth, span = 1, fan
+    while low is not None and high // span > low // span:
+        depth, span = depth + 1, span * fan
+    cell = lambda level: F.floor(F.col(order) / F.lit(fan**level)).cast("long")
+    sums = [per_document.groupBy(cell(1).alias("c1")).agg(F.sum(size).alias("n1"))]
+    for level in range(2, depth + 1):
+        sums.append(sums[-1].groupBy(F.floor(F.col(f"c{level - 1}") / fan).cast("long").alias(f"c{level}")).agg(F.sum(f"n{level - 1}").alias(f"n{level}")))
+    earlier = lambda by, c, n: F.coalesce(F.sum(n).over(W.partitionBy(by).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = sums[-1].select(F.col(f"c{depth}"), F.lit(0).alias(f"b{depth}"))
+    for level in range(depth - 1, 0, -1):
+        own = sums[level - 1].withColumn(f"c{level + 1}", F.floor(F.col(f"c{level}") / fan).cast("long"))
+        before = own.join(before, f"c{level + 1}").select(f"c{level}", (F.col(f"b{level + 1}") + earlier(f"c{level + 1}", f"c{level}", f"n{level}")).alias(f"b{level}"))
+    inner = F.sum(size).over(W.partitionBy("__c1").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    both = per_document.withColumn("__c1", cell(1)).join(before.select(F.col("c1").alias("__c1"), F.col("b1").alias("__b1")), "__c1")
+    return both.withColumn("within", F.col("__b1") + inner <= budget).drop("__c1", "__b1")

@@ -17,7 +17,6 @@ SYNONYMS = {
     "total": ("total", "montant", "line total"),
 }
 LEAST_HEADER = 0.82
-_TOTALS = (("total_ttc", ("TOTAL TTC", "MONTANT TTC", "NET A PAYER TTC")), ("total_ht", ("TOTAL HT", "SOUS TOTAL", "SUBTOTAL", "MONTANT HT")), ("stamp", ("TIMBRE", "STAMP")), ("amount_due", ("NET A PAYER", "AMOUNT DUE", "BALANCE DUE")), ("tax", ("TVA", "VAT", "TAX")), ("total", ("TOTAL",)))
 _ANY_SYNONYM = r"\b(?:" + "|".join(sorted({s for names in SYNONYMS.values() for s in names}, key=len, reverse=True)) + r")\b"
 _FOOTER = ("IBAN", "BIC", "SIRET", "PAGE", "THANK YOU", "MERCI", "CONDITIONS")
 
@@ -51,12 +50,35 @@ def header_role(cell: Column, least: float = LEAST_HEADER) -> Column:
 
 
 def totals_key(line: Column) -> Column:
-    """Which total a line states, the first of TTC, HT, stamp, due, tax, total; null for other lines."""
+    """Which total a line states, the first of TTC, HT, stamp, due, tax, total, wherever in the line its words stand; null for other lines."""
 
     def first(t: Column) -> Column:
-        return F.coalesce(*[F.when(t.rlike(f" (?:{'|'.join(hints)}) "), key) for key, hints in _TOTALS])
+        has = lambda *words: t.rlike("|".join(w.replace(".", "[.]") for w in words))
+        return (
+            F.when(has("TOTAL TTC", "MONTANT A PAYER TTC") | (has("TTC") & has("TOTAL")), "total_ttc").when(has("TOTAL HT", "MONTANT HT", "SUBTOTAL", "SOUS TOTAL") | (has("HT") & has("TOTAL")), "total_ht")
+            .when(has("TIMBRE", "STAMP"), "stamp").when(has("MONTANT A PAYER", "TOTAL A PAYER", "AMOUNT DUE", "TOTAL DUE"), "amount_due").when(has("TVA", "VAT", "TAX"), "tax").when(has("TOTAL", "MONTANT", "AMOUNT"), "total")
+        )
 
-    return _once(F.concat(F.lit(" "), tx.classifier_normal(line), F.lit(" ")), first)
+    return _once(tx.table_normal(line), first)
+
+
+#: What a label calls a total, in the order in which it is looked for.
+TOTAL_LABELS = (
+    ("total_ttc", ("MONTANT A PAYER TTC", "MONTANT TTC", "TOTAL A PAYER TTC", "TOTAL TTC")), ("total_ht", ("MONTANT HT", "SOUS TOTAL", "SUBTOTAL", "TOTAL H.T", "TOTAL HT")),
+    ("amount_due", ("AMOUNT DUE", "MONTANT A PAYER", "TOTAL A PAYER", "TOTAL DUE")), ("stamp", ("STAMP", "TIMBRE")), ("tax", ("TAX", "TVA", "VAT")), ("total", ("AMOUNT", "MONTANT", "TOTAL")),
+)
+
+
+def label_key(label: Column) -> Column:
+    """Which total a label names, by ``TOTAL_LABELS``; null if none."""
+    return _once(tx.table_normal(label), lambda t: F.coalesce(*[F.when(t.rlike("|".join(n.replace(".", "[.]") for n in names)), key) for key, names in TOTAL_LABELS]))
+
+
+def labelled_totals(lines: DataFrame) -> DataFrame:
+    """doc_id, key, label, amount: the distinct labels and amounts of lines (doc_id, text) that end in an amount after a label."""
+    label = F.trim(F.regexp_extract("text", r"^(.*?[A-Za-z.%)])\s*[:=]?\s*[-+]?[0-9][0-9 .,]*\s*(?:EUR|USD|DZD|€|\$)?\s*$", 1))
+    found = lines.select("doc_id", label.alias("label"), nb.amount(F.col("text")).alias("amount")).filter("label <> '' AND amount IS NOT NULL")
+    return found.withColumn("key", label_key(F.col("label"))).filter("key IS NOT NULL").select("doc_id", "key", "label", "amount").distinct()
 
 
 def totals(lines: DataFrame) -> DataFrame:

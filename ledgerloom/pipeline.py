@@ -24,7 +24,7 @@ def _pages(t: Tables) -> Tables:
 
 def _classification(t: Tables) -> Tables:
     scored = classify.scores(t["pages"])
-    return {"scores": classify.ranked(scored), "classification": classify.decisions(t["documents"], scored)}
+    return {"scores": classify.ranked(t["documents"], scored), "classification": classify.decisions(t["documents"], scored), "keyword_hits": classify.keyword_hits(t["pages"])}
 
 
 def _chunks(t: Tables) -> Tables:
@@ -61,8 +61,12 @@ def _ranking(t: Tables) -> Tables:
 
 
 def _links(t: Tables) -> Tables:
-    pairs = linking.pair_candidates(t["topics"])
-    return {"links": linking.numbered(linking.link_scores(pairs, linking.sentence_matches(pairs, linking.sentence_terms(_numbered(t))), t["topics"]))}
+    terms = linking.sentence_terms(_numbered(t))
+    keywords = t["keyword_hits"].select("doc_id", F.lower("keyword").alias("term")) if "keyword_hits" in t else t["topics"].select("doc_id", "term").limit(0)
+    signals = linking.signal_terms(linking.topics_or_common(t["topics"], terms), keywords)
+    pairs = linking.signal_pairs(signals)
+    links = linking.numbered(linking.link_scores(pairs, linking.sentence_matches(pairs, terms, signals), signals))
+    return {"links": links, "link_examples": linking.topic_examples(links, t["topics"], _numbered(t), terms)}
 
 
 def _index(t: Tables) -> Tables:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import grammar_queries, layout_queries, money_queries, record_queries, text_queries, vector_queries  # noqa: F401
+from . import grammar_queries, layout_queries, money_queries, record_queries, relational_queries, resolve_queries, text_queries, vector_queries  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

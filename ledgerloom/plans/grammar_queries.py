@@ -86,7 +86,7 @@ def totals_lines(spark, d):
 
 
 @query("column_inference", """WITH c AS (SELECT p_brand AS doc_id, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS cell, unnest([0, 1, 2, 3]) AS position FROM part),
-    e AS (SELECT *, regexp_matches(cell, '^\\s*[-+]?[0-9][0-9 .,]*%?\\s*$') AS num, regexp_matches(cell, '^[A-Za-z0-9][A-Za-z0-9/_.\\-]{2,}$') AND regexp_matches(cell, '[0-9]') AS code, length(regexp_replace(cell, '[^A-Za-z]', '', 'g')) / length(cell) AS letters FROM c WHERE trim(cell) <> ''),
+    e AS (SELECT *, NOT regexp_matches(cell, '[A-Za-z]') AND regexp_matches(regexp_replace(replace(cell, ',', '.'), '[^0-9.+\\-]', '', 'g'), '^[+\\-]?[0-9]+(?:\\.[0-9]+)?$') AS num, regexp_matches(trim(cell), '^[A-Za-z]{0,6}[-_/]?[A-Za-z0-9]{2,}$') AND regexp_matches(cell, '[0-9]') AND regexp_matches(cell, '[A-Za-z]') AS code, length(regexp_replace(cell, '[^A-Za-z]', '', 'g')) / length(cell) AS letters FROM c WHERE trim(cell) <> ''),
     a AS (SELECT doc_id, position, count(*) AS n, avg(CASE WHEN num THEN 1 ELSE 0 END) AS numeric, avg(CASE WHEN code AND NOT num THEN 1 ELSE 0 END) AS code, round(avg(letters), 6) AS letters FROM e GROUP BY ALL)
     SELECT *, CASE WHEN numeric >= 0.55 THEN 'numeric' WHEN code >= 0.6 THEN 'code' ELSE 'text' END AS kind FROM a""")
 def column_inference(spark, d):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as tx
-from ..operators import classify, extract, layout
+from ..operators import classify, extract, layout, table_blocks
 from .common import SENTENCES, pages_of, query, sentences_of, table
+from .text_queries import _DECIDED, _GRAMMAR
 
 _LINES = "ln AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
 
@@ -34,7 +35,15 @@ def paragraph_split(spark, d):
     return table(spark, d, "documents").select("doc_id", layout.chunk_style(F.col("text")).alias("style"))
 
 
-@query("universal_chunks")
+_STYLE = """CASE WHEN len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\\s*[0-9]{1,3}(?:\\.[0-9]{1,3})*[.)]?\\s+\\S'))) >= 2 OR len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:[A-Z]|[IVXLC]{1,6})[.)]\\s+\\S'))) >= 3 THEN 'sections'
+    WHEN regexp_matches(t, '\\n[ \\t]*\\n') THEN 'paragraphs' ELSE 'sentences' END"""
+
+
+@query("universal_chunks", f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT *, {_STYLE} AS style FROM t),
+    c AS (SELECT doc_id, list_filter(list_transform(CASE style WHEN 'sections' THEN string_split(regexp_replace(t, '\\n(\\s*(?:[0-9]{{1,3}}(?:\\.[0-9]{{1,3}})*[.)]?|(?:[A-Z]|[IVXLC]{{1,6}})[.)])\\s+\\S)', chr(1) || '\\1', 'g'), chr(1))
+        WHEN 'paragraphs' THEN regexp_split_to_array(t, '\\n[ \\t]*\\n\\s*') ELSE string_split(regexp_replace(t, '([.!?:;\\n])\\s+', '\\1' || chr(1), 'g'), chr(1)) END, lambda x: trim(x)), lambda x: x <> '') AS l FROM y),
+    s AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk FROM c), n AS (SELECT *, lower(trim(text)) AS t, length(regexp_replace(text, '\\s', '', 'g')) AS nonspace FROM s)
+    SELECT doc_id, chunk, md5(text) AS chunk_md5, nonspace, nonspace >= 12 AND NOT (NOT regexp_matches(t, '[a-z0-9à-ÿ؀-ۿ]') OR regexp_matches(t, '^(?:page\\s*)?[0-9]{{1,4}}(?:\\s*(?:/|of|sur)\\s*[0-9]{{1,4}})?$')) AS is_sentence FROM n""")
 def universal_chunks(spark, d):
     cut = table(spark, d, "documents").select("doc_id", F.posexplode(layout.chunks(F.col("text"))).alias("chunk", "text"))
     return cut.select("doc_id", "chunk", F.md5("text").alias("chunk_md5"), layout.nonspace(F.col("text")).alias("nonspace"), layout.is_sentence(F.col("text")).alias("is_sentence"))
@@ -56,7 +65,8 @@ def layout_blocks(spark, d):
     return layout.blocks(_lines(spark, d)).select("doc_id", "block", "kind", "first_line", "last_line")
 
 
-@query("language_runs")
+@query("language_runs", f"""WITH {_LINES}, p AS (SELECT doc_id, line, {_GRAMMAR} AS lang FROM ln WHERE trim(text) <> ''), g AS (SELECT *, lag(lang) OVER (PARTITION BY doc_id ORDER BY line) IS DISTINCT FROM lang AS fresh FROM p),
+    r AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS run FROM g) SELECT doc_id, run, any_value(lang) AS lang, min(line) AS "first", max(line) AS "last", count(*) AS n FROM r GROUP BY doc_id, run""")
 def language_runs(spark, d):
     pieces = _lines(spark, d).filter(F.trim("text") != "").select("doc_id", "line", tx.language_of_grammar(F.col("text")).alias("lang"))
     return layout.language_runs(pieces, "line", "lang")
@@ -81,7 +91,7 @@ def extract_missing_fields(spark, d):
     return extract.fields(docs, extract.matches(pages_of(docs), rules), rules)
 
 
-@query("route_rulesets")
+@query("route_rulesets", f"{_DECIDED} SELECT doc_id, unnest(CASE doc_type WHEN 'ENGLISH_PROSE' THEN ['en', 'prose', 'common'] WHEN 'FRENCH_PROSE' THEN ['fr', 'prose', 'common'] WHEN 'GERMAN_PROSE' THEN ['prose', 'common'] ELSE ['common'] END) AS ruleset FROM decided")
 def route_rulesets(spark, d):
     docs = table(spark, d, "documents")
     decided = classify.decisions(docs, classify.scores(pages_of(docs)))
@@ -105,3 +115,26 @@ def html_to_text(spark, d):
     from ..sources.files import html_text
 
     return table(spark, d, "pages").select("page_id", F.md5(html_text(F.col("html"))).alias("text"))
+
+
+def _invoices(spark, d):
+    """Orders as pages of text: a heading, a table with aligned columns, a total."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    items = table(spark, d, "lineitem").withColumn("nth", F.row_number().over(order))
+    row = F.concat(F.rpad(F.concat(F.lit("P-"), "l_partkey"), 14, " "), F.rpad(F.col("l_quantity").cast("int").cast("string"), 10, " "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    packed = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("nth", row.alias("row")))).alias("rows"))
+    head = F.concat(F.rpad(F.lit("Reference"), 14, " "), F.rpad(F.lit("Qty"), 10, " "), F.lit("Price"))
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("Order "), "l_orderkey"), F.lit(""), head), F.transform("rows", lambda r: r["row"]), F.array(F.lit("Total HT 1.00"))), "\n")
+    return packed.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_index"), text.alias("text"))
+
+
+@query("table_rows", """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS nth, ['P-' || l_partkey, CAST(CAST(l_quantity AS INT) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)] AS cells FROM lineitem),
+    u AS (SELECT DISTINCT doc_id, 0 AS nth, ['Reference', 'Qty', 'Price'] AS cells FROM r UNION ALL SELECT * FROM r) SELECT doc_id, 1 AS page_index, 1 AS block, nth + 1 AS "row", nth + 2 AS line, cells FROM u""")
+def table_rows(spark, d):
+    return table_blocks.table_rows(_invoices(spark, d)).filter("block = 1")
+
+
+@query("line_tabularity", r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS line FROM l)
+    SELECT doc_id, 1 AS page_index, line, len(regexp_extract_all(t, '\S+')) AS n_tokens FROM n""")
+def line_tabularity(spark, d):
+    return table_blocks.line_scores(pages_of(table(spark, d, "documents"))).select("doc_id", "page_index", "line", "n_tokens")

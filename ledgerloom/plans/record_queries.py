@@ -74,7 +74,7 @@ def upsert_merge(spark, d):
     return records.upserted(old, new.unionByName(added), ["key"], keep=["first_seen"])
 
 
-@query("page_sampling", """WITH n AS (SELECT doc_id, CAST(doc_id % 61 AS INTEGER) AS n FROM documents), p AS (SELECT doc_id, CASE WHEN n < 1 THEN [] WHEN n <= 20 THEN range(1, n + 1) ELSE list_sort(list_distinct(list_concat(range(1, 5), list_transform(range(1, 13), lambda i: 4 + (n - 8) * i // 13), range(n - 3, n + 1)))) END AS l FROM n)
+@query("page_sampling", """WITH n AS (SELECT doc_id, CAST(doc_id % 61 AS INTEGER) AS n FROM documents), p AS (SELECT doc_id, CASE WHEN n < 1 THEN [] WHEN n <= 20 THEN range(1, n + 1) ELSE list_sort(list_distinct(list_concat(range(1, 5), list_transform(range(1, 13), lambda i: CAST(4 + round_even(CAST(i * (n - 8) AS DOUBLE) / 13, 0) AS BIGINT)), range(n - 3, n + 1)))) END AS l FROM n)
     SELECT doc_id, unnest(l) AS page FROM p""")
 def page_sampling(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(records.page_sample((F.col("doc_id") % 61).cast("int"))).alias("page"))

@@ -6,26 +6,28 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as tx
 from ..operators import classify, linking, ranking
-from .common import ACCENTS, CANDIDATE, INFORMATIVE, NORMAL, SENTENCES, WORDS, in_list, pages_of, query, sentences_of, table
+from .common import ACCENTS, CANDIDATE, INFORMATIVE, NORMAL, PLAIN_WORDS, SENTENCES, WORDS, in_list, pages_of, query, sentences_of, table
 
 _RULES = ", ".join(f"('{t}', {p}, '{b}', '{k.upper()}', {classify.WEIGHTS[b]})" for t, p, b, k in classify.RULES)
 _HITS = f"""rules(doc_type, priority, bucket, keyword, weight) AS (VALUES {_RULES}),
     normal AS (SELECT doc_id, ' ' || replace({NORMAL}, ' ', '  ') || ' ' AS t FROM documents),
     counted AS (SELECT doc_id, rules.*, (length(t) - length(replace(t, ' ' || keyword || ' ', ''))) // (length(keyword) + 2) AS n FROM normal, rules),
     hits AS (SELECT *, CAST(trunc(n * weight * CAST(1.2 AS DOUBLE)) AS BIGINT) AS score FROM counted WHERE n > 0),
-    scores AS (SELECT doc_id, doc_type, priority, CAST(sum(score) AS BIGINT) AS score FROM hits GROUP BY ALL),
+    met AS (SELECT doc_id, doc_type, CAST(sum(score) AS BIGINT) AS s FROM hits GROUP BY ALL),
+    scores AS (SELECT doc_id, doc_type, priority, coalesce(s, 0) AS score FROM documents CROSS JOIN (SELECT DISTINCT doc_type, priority FROM rules) LEFT JOIN met USING (doc_id, doc_type)),
     ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, priority DESC, doc_type) AS rank FROM scores)"""
 
 
 @query("classify_scores", f"WITH {_HITS} SELECT doc_id, doc_type, score, rank, rank = 1 AS is_winner FROM ranks")
 def classify_scores(spark, d):
-    return classify.ranked(classify.scores(pages_of(table(spark, d, "documents")))).select("doc_id", "doc_type", "score", "rank", "is_winner")
+    docs = table(spark, d, "documents")
+    return classify.ranked(docs, classify.scores(pages_of(docs))).select("doc_id", "doc_type", "score", "rank", "is_winner")
 
 
 _DECIDED = f"""WITH {_HITS}, top AS (SELECT doc_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b, max(CASE WHEN rank = 1 THEN doc_type END) AS t FROM ranks GROUP BY 1),
     paired AS (SELECT d.doc_id, coalesce(a, 0) AS top_score, coalesce(b, 0) AS second_score, t FROM documents d LEFT JOIN top USING (doc_id)),
-    decided AS (SELECT doc_id, CASE WHEN top_score > 0 THEN t ELSE 'UNCLASSIFIED' END AS doc_type, CASE WHEN top_score > 0 AND top_score >= 6 AND top_score - second_score >= 3 THEN 'OK' ELSE 'REVIEW' END AS status,
-        top_score, second_score, top_score - second_score AS margin FROM paired)"""
+    sure AS (SELECT *, top_score > 0 AND top_score >= 6 AND top_score - second_score >= 3 AS ok FROM paired),
+    decided AS (SELECT doc_id, CASE WHEN ok THEN t ELSE 'UNCLASSIFIED' END AS doc_type, CASE WHEN ok THEN 'OK' ELSE 'REVIEW' END AS status, top_score, second_score, top_score - second_score AS margin FROM sure)"""
 
 
 @query("classify_documents", f"{_DECIDED} SELECT * FROM decided")
@@ -47,18 +49,19 @@ def join_classification(spark, d):
     return both.groupBy("source", "doc_type", "status").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-def _hint(lang: str, text: str) -> str:
-    return f"len(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '([a-zà-ÿ]+)', 1), lambda w: w IN ({in_list(tx.HINTS[lang])})))"
+_LATIN = "regexp_extract_all(lower(substr({0}, 1, 8000)), '[A-Za-zÀ-ÖØ-öø-ÿ]+')"
+_ARABIC = "len(regexp_extract_all({0}, '[؀-ۿݐ-ݿࢠ-ࣿ]'))"
 
 
-def _accent(text: str) -> str:
-    return f"regexp_matches(lower(coalesce({text}, '')), '[àâäçéèêëîïôöùûüœ]')"
+def _hint(text: str, hints) -> str:
+    return f"len(list_filter({_LATIN.format(text)}, lambda w: w IN ({in_list(hints)})))"
 
 
-_HEAD = "substr(coalesce(text, ''), 1, 8000)"
-_ARABIC = "len(regexp_extract_all({}, '[؀-ۿ]'))"
-_LAYOUT = f"CASE WHEN {_ARABIC.format(_HEAD)} >= 6 AND {_ARABIC.format(_HEAD)} >= 0.02 * greatest(length({_HEAD}), 1) THEN 'ar' WHEN {_hint('en', _HEAD)} > {_hint('fr', _HEAD)} + CASE WHEN {_accent(_HEAD)} THEN 1 ELSE 0 END THEN 'en' ELSE 'fr' END"
-_GRAMMAR = f"CASE WHEN {_ARABIC.format('text')} > 0 THEN 'ar' WHEN {_hint('fr', 'text')} + CASE WHEN {_accent('text')} THEN 2 ELSE 0 END > {_hint('en', 'text')} THEN 'fr' ELSE 'en' END"
+_T, _TRIMMED = "coalesce(text, '')", "trim(coalesce(text, ''))"
+_LAYOUT = f"""CASE WHEN ({_ARABIC.format(_T)} >= 6 AND {_ARABIC.format(_T)} >= 0.02 * length({_T})) OR ({_ARABIC.format(_T)} > 0 AND NOT regexp_matches({_T}, '[A-Za-zÀ-ÖØ-öø-ÿ]')) THEN 'ar'
+    WHEN len({_LATIN.format(_T)}) > 0 AND {_hint(_T, tx.HINTS['fr'])} + CASE WHEN regexp_matches(lower({_T}), '[èéêëàùçôîï]') THEN 1 ELSE 0 END >= {_hint(_T, tx.HINTS['en'])} THEN 'fr' ELSE 'en' END"""
+_GRAMMAR = f"""CASE WHEN {_ARABIC.format(_TRIMMED)} > 0 THEN 'ar'
+    WHEN {_hint(_TRIMMED, tx.GRAMMAR_HINTS['fr'])} + CASE WHEN regexp_matches(lower({_TRIMMED}), '[éèêàùçôîï]') THEN 2 ELSE 0 END > {_hint(_TRIMMED, tx.GRAMMAR_HINTS['en'])} THEN 'fr' ELSE 'en' END"""
 
 
 @query("language_detect", f"SELECT doc_id, lang, {_LAYOUT} AS layout_lang, {_GRAMMAR} AS grammar_lang FROM documents")
@@ -88,20 +91,21 @@ def word_counts(spark, d):
 
 @query("top_words", f"WITH w AS (SELECT unnest({WORDS}) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 200")
 def top_words(spark, d):
-    return table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(200)
+    return table(spark, d, "documents").select(F.explode_outer(tx.words(F.col("text"))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(200)
 
 
-@query("informative_terms", f"WITH w AS (SELECT doc_id, unnest({WORDS}) AS t FROM documents) SELECT doc_id, count(*) FILTER ({INFORMATIVE}) AS informative, count(*) FILTER ({CANDIDATE}) AS candidates FROM w GROUP BY 1")
+@query("informative_terms", f"WITH w AS (SELECT doc_id, unnest({PLAIN_WORDS}) AS t FROM documents) SELECT doc_id, count(*) FILTER ({INFORMATIVE}) AS informative, count(*) FILTER ({CANDIDATE}) AS candidates FROM w GROUP BY 1")
 def informative_terms(spark, d):
-    found = tx.words(F.col("text"))
+    found = tx.plain_words(F.col("text"))
     return table(spark, d, "documents").select("doc_id", found.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size(F.filter("w", tx.is_informative)).alias("informative"), F.size(F.filter("w", tx.is_topic_candidate)).alias("candidates"))
 
 
-@query("bigrams", f"""WITH w AS (SELECT doc_id, list_filter({WORDS}, lambda t: {INFORMATIVE}) AS l FROM documents), p AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) AS term FROM w WHERE len(l) > 1)
+@query("bigrams", f"""WITH w AS (SELECT doc_id, list_filter({PLAIN_WORDS}, lambda t: {INFORMATIVE}) AS l FROM documents), p AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) AS term FROM w WHERE len(l) > 1)
     SELECT term, count(*) AS n FROM p GROUP BY 1""")
 def bigrams(spark, d):
-    kept = F.filter(tx.words(F.col("text")), tx.is_informative)
-    terms = table(spark, d, "documents").select(kept.alias("l")).select(F.explode(F.slice(tx.with_bigrams(F.col("l")), F.size("l") + 1, F.greatest(F.size("l") - 1, F.lit(0)))).alias("term"))
+    kept = F.filter(tx.plain_words(F.col("text")), tx.is_informative)
+    pairs = lambda k: F.slice(tx.with_bigrams(k), F.size(k) + 1, F.greatest(F.size(k) - 1, F.lit(0)))
+    terms = table(spark, d, "documents").select(F.explode_outer(F.element_at(F.transform(F.array(kept), pairs), 1)).alias("term")).filter("term IS NOT NULL")
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -142,7 +146,14 @@ def detect_currency(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.currency(F.col("text")).alias("currency"))
 
 
-@query("detect_dates", r"""SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '\b((?:0?[1-9]|[12][0-9]|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:0?[1-9]|[12][0-9]|3[01]))\b', 1), '') AS found FROM documents""")
+_DATES = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    f AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '[\\s,;()\\[\\]{{}}<>]+'), lambda w: trim(w, ' .,:;')), lambda w: regexp_matches(w, '{tx.DAY_FIRST}') OR regexp_matches(w, '{tx.YEAR_FIRST}'))[1] AS d FROM t),
+    p AS (SELECT *, regexp_split_to_array(d, '[/.\\-]') AS l, regexp_matches(d, '{tx.DAY_FIRST}') AS dmy FROM f)
+    SELECT doc_id, CASE WHEN d IS NOT NULL AND dmy THEN printf('%02d/%02d/%s', CAST(l[1] AS INT), CAST(l[2] AS INT), l[3]) WHEN d IS NOT NULL THEN printf('%s-%02d-%02d', l[1], CAST(l[2] AS INT), CAST(l[3] AS INT))
+        ELSE coalesce(nullif(regexp_extract(t, '{tx.WORD_DATE[0]}'), ''), nullif(regexp_extract(t, '{tx.WORD_DATE[1]}'), '')) END AS found FROM p"""
+
+
+@query("detect_dates", _DATES)
 def detect_dates(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.first_date(F.col("text")).alias("found"))
 
@@ -182,7 +193,7 @@ def bm25_summary(spark, d):
     return ranking.bm25_summary(chunks, _first_sentence_terms(chunks)).withColumns({c: F.round(c, 6) for c in ("best_score", "avg_top3_score")})
 
 
-_TERMS = f"""{SENTENCES}, k AS (SELECT doc_id, chunk, list_filter({WORDS}, lambda t: {CANDIDATE}) AS l FROM sent),
+_TERMS = f"""{SENTENCES}, k AS (SELECT doc_id, chunk, list_filter({PLAIN_WORDS}, lambda t: {CANDIDATE}) AS l FROM sent),
     o AS (SELECT doc_id, chunk, unnest(l) AS term FROM k UNION ALL SELECT doc_id, chunk, unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) FROM k WHERE len(l) > 1),
     c AS (SELECT doc_id, count(*) AS c FROM sent GROUP BY 1), by_chunk AS (SELECT doc_id, chunk, term, count(*) AS tf FROM o GROUP BY ALL)"""
 _QUALITY = "CASE WHEN length(term) > 42 THEN 0.7 WHEN contains(term, ' ') THEN 1.2 ELSE 1.0 END"
@@ -229,27 +240,69 @@ def link_shared_terms(spark, d):
     return linking.pair_candidates(_item_topics(spark, d)[1])
 
 
-_MATCHES = f"""st AS (SELECT DISTINCT doc_id, chunk, unnest(list_filter({WORDS}, lambda t: {INFORMATIVE})) AS term FROM sent), sz AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk) AS n FROM st),
-    pd AS (SELECT doc_id, count(DISTINCT chunk) AS s FROM sz GROUP BY 1), dfs AS (SELECT doc_id, term, count(*) AS df FROM sz GROUP BY ALL),
-    mm AS (SELECT source, target, a.chunk AS a, b.chunk AS b, a.n AS na, b.n AS nb, round(ln(1 + (pa.s + pb.s + 1) / (da.df + db.df)), 9) AS w FROM pairs JOIN sz a ON a.doc_id = source JOIN sz b ON b.doc_id = target AND b.term = a.term
+_SIGNALS = f"""long AS (SELECT DISTINCT doc_id, t AS term FROM (SELECT doc_id, unnest({PLAIN_WORDS}) AS t FROM sent) WHERE length(t) >= 12 AND {INFORMATIVE}),
+    sg AS (SELECT doc_id, term, bool_or(is_topic) AS is_topic FROM (SELECT doc_id, term, true AS is_topic FROM topics UNION ALL SELECT doc_id, term, false FROM long) GROUP BY ALL),
+    sp AS (SELECT a.doc_id AS source, b.doc_id AS target, count(*) FILTER (a.is_topic AND b.is_topic) AS n_shared, count(*) AS n_signals FROM sg a JOIN sg b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)"""
+_MATCHES = f"""{_SIGNALS}, st AS (SELECT DISTINCT doc_id, chunk, unnest(list_filter({PLAIN_WORDS}, lambda t: {INFORMATIVE})) AS term FROM sent), sz AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk) AS n FROM st),
+    pd AS (SELECT doc_id, count(DISTINCT chunk) AS s FROM sz GROUP BY 1), dfs AS (SELECT doc_id, term, df, coalesce(is_topic, false) AS t, is_topic IS NOT NULL AS g FROM (SELECT doc_id, term, count(*) AS df FROM sz GROUP BY ALL) LEFT JOIN sg USING (doc_id, term)),
+    mm AS (SELECT source, target, a.chunk AS a, b.chunk AS b, a.n AS na, b.n AS nb, a.term AS term, CAST(da.t AND db.t AS INT) AS t, CAST(da.g AND db.g AS INT) AS g,
+        round(CAST(ln(1 + (pa.s + pb.s + 1) / (da.df + db.df)) + 0.85 * CAST(da.t AND db.t AS INT) + 0.55 * CAST(da.g AND db.g AS INT) + least(0.35, greatest(0.0, (length(a.term) - 4) * 0.03)) AS DOUBLE), 9) AS w
+        FROM sp JOIN sz a ON a.doc_id = source JOIN sz b ON b.doc_id = target AND b.term = a.term
         JOIN dfs da ON da.doc_id = source AND da.term = a.term JOIN dfs db ON db.doc_id = target AND db.term = a.term JOIN pd pa ON pa.doc_id = source JOIN pd pb ON pb.doc_id = target),
-    ms AS (SELECT source, target, a, b, count(*) AS n_common, round(list_sum(list_sort(list(w), 'DESC')[1:8]) / (na + nb + 1), 6) AS score FROM mm GROUP BY source, target, a, b, na, nb),
+    mt AS (SELECT *, row_number() OVER (PARTITION BY source, target, a, b ORDER BY w DESC, term) AS nth FROM mm WHERE w >= 0.85 QUALIFY nth <= 8),
+    mq AS (SELECT source, target, a, b, count(*) AS n_common, CAST(sum(t) AS BIGINT) AS n_topics, sum(g) AS n_signals, sum(w) / (na + nb + 1) AS base FROM mt GROUP BY source, target, a, b, na, nb),
+    ms AS (SELECT source, target, a, b, n_common, n_topics, round(CAST(base * (1 + least(0.45, 0.17 * n_topics)) * (1 + least(0.35, 0.12 * n_signals)) AS DOUBLE), 6) AS score FROM mq WHERE n_common > 1 OR n_topics + n_signals > 0),
     matches AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY score DESC, a, b) AS rank FROM ms WHERE score >= 0.1 QUALIFY rank <= 14)"""
 
 
-@query("sentence_matches", f"{_ITEMS}, {_PAIRS}, {_MATCHES} SELECT * FROM matches")
-def sentence_matches(spark, d):
+def _signals(items, topics):
+    """Topics and, in place of a classification's keywords, words of twelve letters and more."""
+    long = items.select("doc_id", F.explode_outer(F.array_distinct(tx.plain_words(F.col("text")))).alias("term")).filter(F.length("term") >= 12).distinct()
+    return linking.signal_terms(topics, long)
+
+
+@query("signal_pairs", f"{_ITEMS}, {_SIGNALS} SELECT * FROM sp")
+def signal_pairs(spark, d):
+    return linking.signal_pairs(_signals(*_item_topics(spark, d)))
+
+
+def _matched(spark, d):
     items, topics = _item_topics(spark, d)
-    return linking.sentence_matches(linking.pair_candidates(topics), linking.sentence_terms(items))
+    signals, terms = _signals(items, topics), linking.sentence_terms(items)
+    pairs = linking.signal_pairs(signals)
+    return items, topics, signals, terms, pairs, linking.sentence_matches(pairs, terms, signals)
+
+
+@query("sentence_matches", f"{_ITEMS}, {_MATCHES} SELECT * FROM matches")
+def sentence_matches(spark, d):
+    return _matched(spark, d)[-1]
 
 
-_LINKS = f"""{_PAIRS}, {_MATCHES}, tn AS (SELECT doc_id, count(*) AS n FROM topics GROUP BY 1), bm AS (SELECT source, target, max(score) AS s, count(*) AS n FROM matches GROUP BY ALL),
-    lk AS (SELECT source, target, n_shared, n_shared / greatest(least(x.n, y.n), 1) AS t, coalesce(s, 0.0) AS sentence_score, least(coalesce(bm.n, 0) / 5.0, 1.0) AS coverage, s FROM pairs LEFT JOIN bm USING (source, target) JOIN tn x ON x.doc_id = source JOIN tn y ON y.doc_id = target),
-    links AS (SELECT source, target, n_shared, round(t, 6) AS topic_score, sentence_score, coverage, round(CAST(0.45 * t + 0.35 * least(sentence_score, 1.0) + 0.2 * coverage AS DOUBLE), 6) AS score, s FROM lk)"""
+_LINKS = f"""{_MATCHES}, tn AS (SELECT doc_id, count(*) FILTER (is_topic) AS t, count(*) AS g FROM sg GROUP BY 1), bm AS (SELECT source, target, max(score) AS s FROM matches GROUP BY ALL),
+    lk AS (SELECT source, target, n_shared, n_shared / greatest(least(x.t, y.t), 1) AS t, n_signals / greatest(least(x.g, y.g), 1) AS g, coalesce(s, 0.0) AS sentence_score FROM sp LEFT JOIN bm USING (source, target) JOIN tn x ON x.doc_id = source JOIN tn y ON y.doc_id = target),
+    lw AS (SELECT source, target, n_shared, round(t, 6) AS topic_score, sentence_score, round(g, 6) AS signal_score, round(CAST(0.45 * t + 0.35 * sentence_score + 0.2 * g AS DOUBLE), 6) AS score FROM lk),
+    links AS (SELECT * FROM lw WHERE score >= 0.15 AND (n_shared > 0 OR signal_score >= 0.2 OR sentence_score >= 0.24))"""
 
 
-@query("document_links", f"{_ITEMS}, {_LINKS} SELECT source, target, n_shared, topic_score, sentence_score, coverage, score, 'link-' || row_number() OVER (ORDER BY score DESC, source, target) AS link_id FROM links WHERE score >= 0.15 AND (n_shared > 1 OR s > 0)")
+@query("document_links", f"{_ITEMS}, {_LINKS} SELECT *, 'link-' || row_number() OVER (ORDER BY score DESC, source, target) AS link_id FROM links")
 def document_links(spark, d):
-    items, topics = _item_topics(spark, d)
-    pairs = linking.pair_candidates(topics)
-    return linking.numbered(linking.link_scores(pairs, linking.sentence_matches(pairs, linking.sentence_terms(items)), topics))
+    _, _, signals, _, pairs, matches = _matched(spark, d)
+    return linking.numbered(linking.link_scores(pairs, matches, signals))
+
+
+@query("link_topic_examples", f"""{_ITEMS}, {_LINKS}, ex AS (SELECT st.*, row_number() OVER (PARTITION BY doc_id, term ORDER BY chunk) AS nth FROM st SEMI JOIN topics USING (doc_id, term) QUALIFY nth <= 2),
+    sh AS (SELECT source, target, a.term AS term FROM links JOIN topics a ON a.doc_id = source JOIN topics b ON b.doc_id = target AND b.term = a.term),
+    sides AS (SELECT *, 'source' AS side, source AS doc_id FROM sh UNION ALL SELECT *, 'target', target FROM sh)
+    SELECT source, target, term, side, nth, chunk, CASE WHEN length(trim(text)) > 220 THEN rtrim(substr(trim(text), 1, 217)) || '...' ELSE trim(text) END AS excerpt FROM sides JOIN ex USING (doc_id, term) JOIN sent USING (doc_id, chunk)""")
+def link_topic_examples(spark, d):
+    items, topics, signals, terms, pairs, matches = _matched(spark, d)
+    return linking.topic_examples(linking.link_scores(pairs, matches, signals), topics, items, terms)
+
+
+@query("chunk_candidates", """WITH c AS (SELECT label AS doc_id, vec_id AS chunk, vec_id % 4 AS n_shared_topics, vec_id % 9 AS n_shared_terms, vec_id % 11 AS n_topics, vec_id % 37 AS n_tokens FROM embeddings),
+    p AS (SELECT *, round(CAST(3.0 * n_shared_topics + 1.3 * n_shared_terms + 0.4 * least(n_topics, 8) + least(1.2, n_tokens / 20.0) AS DOUBLE), 6) AS priority FROM c)
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, n_tokens DESC, chunk) AS rank FROM p QUALIFY rank <= 40""")
+def chunk_candidates(spark, d):
+    vec = F.col("vec_id")
+    chunks = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), vec.alias("chunk"), *[(vec % n).alias(c) for c, n in (("n_shared_topics", 4), ("n_shared_terms", 9), ("n_topics", 11), ("n_tokens", 37))])
+    return linking.chunk_candidates(chunks, linking.VECTOR_PROFILES["100ml"]["chunks"])

@@ -49,3 +49,9 @@ def chunk_matches(spark, d):
 def hash_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("terms"))
     return vectors.hashed_vectors(docs, "doc_id", "terms")
+
+
+@query("subword_vectors")
+def subword_vectors(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("terms"))
+    return vectors.subword_vectors(docs, "doc_id", "terms")

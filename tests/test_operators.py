@@ -29,7 +29,7 @@ def test_money_reads_a_comma_as_the_decimal_mark(spark):
     assert float(one(spark, "1,234", nb.money)) == 1.23 and float(one(spark, "1.005", nb.money)) == 1.01 and one(spark, "", nb.money) is None
 
 
-@pytest.mark.parametrize(("raw", "want"), [("3", 3), ("2,125", 2.125), ("2.1234", None), ("x", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("3", 3), ("2,125", 2.125), ("2.1234", 2.123), ("x", None), (None, None)])
 def test_quantities(spark, raw, want):
     got = one(spark, raw, nb.quantity)
     assert (float(got) if got is not None else None) == want
@@ -51,7 +51,7 @@ def test_classification_truncates_each_keyword(spark):
     assert got == {"A": 1 + 2, "B": 2 - 2, "C": 5}
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     decided = {r["doc_id"]: (r["doc_type"], r["status"]) for r in classify.decisions(docs, classify.scores(pages, rules)).collect()}
-    assert decided == {1: ("C", "REVIEW"), 2: ("UNCLASSIFIED", "REVIEW")}
+    assert decided == {1: ("UNCLASSIFIED", "REVIEW"), 2: ("UNCLASSIFIED", "REVIEW")}
     malus = {r["doc_type"]: r["score"] for r in classify.with_confusion(classify.scores(pages, rules), pages, {"C": ["paid"]}).collect()}
     assert malus["C"] == int(5 - (5 * 1.2 + 5 * 2))
 
