@@ -110,10 +110,10 @@ PROCESSING = "warnings array<string>, logs array<string>, steps array<struct<nam
 def processing_tables(df: DataFrame, key: str, payload: str) -> Tables:
     """warnings, logs, steps, durations and business_fields from a JSON column of that shape; what doesn't parse or is missing has no rows."""
     parsed = df.select(F.col(key), F.from_json(payload, PROCESSING).alias("p"))
-    lines = lambda c: parsed.select(key, F.posexplode(f"p.{c}").alias("at", "text")).filter(F.trim("text") != "").select(_id(c, key, "at").alias("id"), key, (F.col("at") + 1).alias("nth"), "text")
-    steps = parsed.select(key, F.posexplode("p.steps").alias("at", "s")).select(_id("step", key, "at").alias("id"), key, (F.col("at") + 1).alias("nth"), "s.name", "s.status", "s.seconds")
+    lines = lambda c: parsed.select(key, F.posexplode(f"p.{c}").alias("at", "text")).filter(F.trim("text") != "").select(_id(c, key, "at").alias("row_id"), key, (F.col("at") + 1).alias("nth"), "text")
+    steps = parsed.select(key, F.posexplode("p.steps").alias("at", "s")).select(_id("step", key, "at").alias("row_id"), key, (F.col("at") + 1).alias("nth"), "s.name", "s.status", "s.seconds")
     durations = steps.groupBy(key).agg(F.count("*").alias("steps"), F.round(F.sum("seconds"), 6).alias("seconds"), F.count_if(F.col("status") != "ok").alias("failed"))
-    fields = parsed.select(key, F.explode("p.fields").alias("field", "value")).withColumn("id", _id("business", key, "field"))
+    fields = parsed.select(key, F.explode("p.fields").alias("field", "value")).withColumn("row_id", _id("business", key, "field"))
     return {"warnings": lines("warnings"), "logs": lines("logs"), "steps": steps, "durations": durations, "business_fields": fields}
 
 

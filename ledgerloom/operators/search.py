@@ -65,9 +65,10 @@ def within_budget(per_document: DataFrame, order: str, size: str, budget: int =
     """
     low, high = per_document.agg(F.min(order), F.max(order)).first()
     depth, span = 1, fan
-    while low is not None and high // span > low // span:
+    low, high = (0, 0) if low is None else (low, high)
+    while high - low >= span:
         depth, span = depth + 1, span * fan
-    cell = lambda level: F.floor(F.col(order) / F.lit(fan**level)).cast("long")
+    cell = lambda level: F.floor((F.col(order) - low) / F.lit(fan**level)).cast("long")
     sums = [per_document.groupBy(cell(1).alias("c1")).agg(F.sum(size).alias("n1"))]
     for level in range(2, depth + 1):
         sums.append(sums[-1].groupBy(F.floor(F.col(f"c{level - 1}") / fan).cast("long").alias(f"c{level}")).agg(F.sum(f"n{level - 1}").alias(f"n{level}")))

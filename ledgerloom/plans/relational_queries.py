@@ -198,17 +198,17 @@ def _processing(spark, d):
 _GOOD = "FROM events WHERE event_id % 11 <> 0"
 
 
-@query("rel_warnings", f"SELECT {_id('warnings', 'event_id', '0')} AS id, event_id, 1 AS nth, event_type AS text {_GOOD} AND event_id % 5 = 0 AND trim(event_type) <> ''")
+@query("rel_warnings", f"SELECT {_id('warnings', 'event_id', '0')} AS row_id, event_id, 1 AS nth, event_type AS text {_GOOD} AND event_id % 5 = 0 AND trim(event_type) <> ''")
 def rel_warnings(spark, d):
     return _processing(spark, d)["warnings"]
 
 
-@query("rel_logs", f"SELECT {_id('logs', 'event_id', '0')} AS id, event_id, 1 AS nth, 'did ' || event_type AS text {_GOOD} AND event_type IS NOT NULL")
+@query("rel_logs", f"SELECT {_id('logs', 'event_id', '0')} AS row_id, event_id, 1 AS nth, 'did ' || event_type AS text {_GOOD} AND event_type IS NOT NULL")
 def rel_logs(spark, d):
     return _processing(spark, d)["logs"]
 
 
-@query("rel_steps", f"""WITH s AS (SELECT event_id, unnest([1, 2]) AS nth, unnest([event_type, 'end']) AS name, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, unnest([1.5, CAST(event_id % 10 AS DOUBLE)]) AS seconds {_GOOD}) SELECT {_id('step', 'event_id', 'nth - 1')} AS id, * FROM s""")
+@query("rel_steps", f"""WITH s AS (SELECT event_id, unnest([1, 2]) AS nth, unnest([event_type, 'end']) AS name, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, unnest([1.5, CAST(event_id % 10 AS DOUBLE)]) AS seconds {_GOOD}) SELECT {_id('step', 'event_id', 'nth - 1')} AS row_id, * FROM s""")
 def rel_steps(spark, d):
     return _processing(spark, d)["steps"]
 
@@ -218,7 +218,7 @@ def rel_durations(spark, d):
     return _processing(spark, d)["durations"]
 
 
-@query("rel_business_fields", f"SELECT event_id, 'kind' AS field, event_type AS value, {_id('business', 'event_id', chr(39) + 'kind' + chr(39))} AS id {_GOOD}")
+@query("rel_business_fields", f"SELECT event_id, 'kind' AS field, event_type AS value, {_id('business', 'event_id', chr(39) + 'kind' + chr(39))} AS row_id {_GOOD}")
 def rel_business_fields(spark, d):
     return _processing(spark, d)["business_fields"]
 
