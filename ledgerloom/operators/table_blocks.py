@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ _DATE = re.compile(r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b")
 _CODE = re.compile(r"[A-Za-z]{0,6}[-_/]?[A-Za-z0-9]{2,}")
 
 
+@lru_cache(maxsize=1 << 16)
 def plain(text: str) -> str:
     """Upper case without accents, only letters, digits and ``+./%-`` between single blanks."""
     return re.sub(" +", " ", re.sub(r"[^A-Za-z0-9+./%\-]+", " ", text.translate(_DIGITS).translate(_PLAIN))).strip().upper()
@@ -42,6 +44,7 @@ def squeezed(text: str) -> str:
     return " ".join(text.translate(_DIGITS).split())
 
 
+@lru_cache(maxsize=1 << 16)
 def is_code(text: str) -> bool:
     t = squeezed(text)
     return bool(_CODE.fullmatch(t)) and any(map(str.isalpha, t)) and any(map(str.isdigit, t))
@@ -63,6 +66,7 @@ def _number(token: str) -> float | None:
         return None
 
 
+@lru_cache(maxsize=1 << 16)
 def amount(text: str) -> float | None:
     """What :func:`numbers.amount` makes of a text."""
     t = squeezed(text)
@@ -76,6 +80,7 @@ def amount(text: str) -> float | None:
     return next((x for x in reversed(found) if x is not None), None)
 
 
+@lru_cache(maxsize=1 << 16)
 def is_quantity(text: str) -> bool:
     t = squeezed(text)
     return not (any(map(str.isalpha, t)) or "/" in t or t.count("-") >= 2 or _DATE.search(t)) and bool(re.fullmatch(r"[+\-]?\d+(?:\.\d+)?", re.sub(r"[^0-9.+\-]", "", t.replace(",", "."))))
