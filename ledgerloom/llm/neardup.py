@@ -274,7 +274,8 @@ def _labels(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     shared = keyed.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
     members = written(keyed.join(shared, "key"), "members")
     named = units.select("same", "uid").join(members.select("uid").distinct(), "uid", "left_semi")
-    sets = written(_sets(docs).join(named, "same").groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
+    # grouped by the key of the join, so that the sets are moved once
+    sets = written(_sets(docs).join(named, "same").groupBy("same").agg(F.first("uid").alias("uid"), F.first("shingles").alias("shingles")).drop("same"), "sets")
 
     stars = members.filter("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct()
     found = written(_verified(_promising(stars, units, threshold), sets, threshold), "pairs")
