@@ -154,8 +154,13 @@ def carried(labels: Column) -> Column:
 def bio_repaired(labels: Column) -> Column:
     """``I-x`` after ``O`` or another type becomes ``B-x``."""
     kind = lambda x: F.substr(x, F.lit(3))
-    orphan = lambda x, i: x.startswith("I-") & ((i == 0) | ~F.coalesce((_at(labels, i - 1) != "O") & (kind(_at(labels, i - 1)) == kind(x)), F.lit(False)))
-    return F.transform(labels, lambda x, i: F.when(orphan(x, i), F.concat(F.lit("B-"), kind(x))).otherwise(x))
+
+    def repaired(known: Column) -> Column:
+        orphan = lambda x, i: x.startswith("I-") & ((i == 0) | ~F.coalesce((_at(known, i - 1) != "O") & (kind(_at(known, i - 1)) == kind(x)), F.lit(False)))
+        return F.transform(known, lambda x, i: F.when(orphan(x, i), F.concat(F.lit("B-"), kind(x))).otherwise(x))
+
+    # named inside a lambda, so that the labels are made once and not for each of their places
+    return F.element_at(F.transform(F.array(labels), repaired), 1)
 
 
 def entities(tokens: DataFrame, keys: list[str]) -> DataFrame:
