@@ -23,7 +23,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    """Null elements count as 0."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """What rounds to zero keeps its sign, as in SQL."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
 
 
 def unit(v: Column) -> Column:

@@ -20,13 +20,15 @@ def _vectors(spark, d):
 @query("unit_vectors", f"SELECT vec_id, list_transform(CASE WHEN {_NORM.format('embedding')} > 0 THEN {_UNIT} ELSE embedding END, lambda x: round(x, 5)) AS v, round({_NORM.format('embedding')}, 5) AS length FROM embeddings")
 def unit_vectors(spark, d):
     v = F.col("embedding")
-    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.unit(v), lambda x: F.round(x, 5)).alias("v"), F.round(vectors.norm(v), 5).alias("length"))
+    # a sum over no element is null
+    length = F.when(F.exists(v, lambda x: x.isNotNull()), F.round(vectors.norm(v), 5))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.unit(v), lambda x: vectors.rounded(x, 5)).alias("v"), length.alias("length"))
 
 
 @query("mean_vectors", f"""WITH u AS (SELECT label, unnest({_UNIT}) AS x, unnest(range(len(embedding))) AS place FROM embeddings), m AS (SELECT label, place, avg(x) AS x FROM u GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS len FROM m)
     SELECT label, place, round(x / len, 5) AS x FROM n""")
 def mean_vectors(spark, d):
-    return vectors.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 5))
+    return vectors.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("embedding").alias("place", "x")).withColumn("x", vectors.rounded(F.col("x"), 5))
 
 
 @query("cosine_pairs", f"""WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE.format('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
