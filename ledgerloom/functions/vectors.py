@@ -4,15 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 #: Terms whose hashes a worker remembers.
 _KNOWN = 200_000
+#: Terms of the rows that a worker takes at once, and rows; a single row may have more.
+_TERMS, _ROWS = 200_000, 1024
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows of about ``_TERMS`` terms, so that a worker's memory doesn't go by the length of the texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TERMS, side="right"))
+            size = min(max(end - at, 1), _ROWS)
+            yield batch.slice(at, size)
+            at += size
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,16 +83,16 @@ def hashed_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
-        for batch in batches:
+        for batch in _pieces(batches):
             out = np.zeros((batch.num_rows, dim))
             for row, words in enumerate(batch.column(1).to_pylist()):
-                for w in words or ():
+                for w, times in Counter(words or ()).items():
                     if w is not None:
                         if w not in known:
                             if len(known) >= _KNOWN:
                                 known.clear()
                             known[w] = _hashed(w, dim)
-                        out[row, known[w][0]] += known[w][1]
+                        out[row, known[w][0]] += known[w][1] * times
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.round(np.divide(out, lengths, out=out, where=lengths > 0), 6)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * dim, dim), pa.int32()), pa.array(out.ravel()))
@@ -104,16 +120,21 @@ def subword_vectors(df: DataFrame, key: str, terms: str, dim: int = 384) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in _pieces(batches):
             out = np.zeros((batch.num_rows, dim))
             for row, words in enumerate(batch.column(1).to_pylist()):
+                places, values = [], []
                 for w in words or ():
                     if w:
                         if w not in known:
                             if len(known) >= _KNOWN:
                                 known.clear()
                             known[w] = of_term(w)
-                        out[row, known[w][0]] += known[w][1]
+                        at, sums = known[w]
+                        places.append(at)
+                        values.append(sums)
+                if places:
+                    out[row] = np.bincount(np.concatenate(places), weights=np.concatenate(values), minlength=dim)
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.round(np.divide(out, lengths, out=out, where=lengths > 0), 6)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * dim, dim), pa.int32()), pa.array(out.ravel()))
