@@ -91,17 +91,22 @@ def pos(tokens: Column, lang: str) -> Column:
     classes = {"en": EN, "fr": FR, "ar": AR}[lang]
 
     def tag(t: Column, i: Column) -> Column:
-        low, before, after = _lower(t), _lower(_at(tokens, i - 1)), _lower(_at(tokens, i + 1))
+        # named inside lambdas, so that a token and the one before are brought to lower case once and not for each rule
+        return F.element_at(F.transform(F.array(_lower(t)), lambda low: F.element_at(F.transform(F.array(_lower(_at(tokens, i - 1))), lambda before: of(t, i, low, before)), 1)), 1)
+
+    def of(t: Column, i: Column, low: Column, before: Column) -> Column:
         out = F.when(t.rlike(r"^[0-9]"), "CD").when(~t.rlike(r"[\p{L}0-9]"), "PUNCT")
         if lang == "en":
             subject = before.isin(*"he she it that there what who i you we they".split())
             out = out.when(low == "'s", F.when(subject, "VB").otherwise("POS"))
         if lang == "fr":
             out = out.when((low == "plus") & before.isin("ne", "n'"), "RP")
-        out = out.when(_closed(low, classes).isNotNull(), _closed(low, classes))
+        return F.coalesce(out, _closed(low, classes), open_class(t, i, low, before))
+
+    def open_class(t: Column, i: Column, low: Column, before: Column) -> Column:
         if lang == "ar":
-            return out.when(t.rlike("^ال") | t.rlike("ة$"), "NN").when(t.rlike("^[يت].{3,}"), "VB").otherwise("NN")
-        out = out.when(t.rlike("^[A-ZÀ-Þ]") & ((i > 0) & ~F.coalesce(_at(tokens, i - 1).rlike(r"^[.!?]$"), F.lit(False))), "NNP")
+            return F.when(t.rlike("^ال") | t.rlike("ة$"), "NN").when(t.rlike("^[يت].{3,}"), "VB").otherwise("NN")
+        out = F.when(t.rlike("^[A-ZÀ-Þ]") & ((i > 0) & ~F.coalesce(_at(tokens, i - 1).rlike(r"^[.!?]$"), F.lit(False))), "NNP")
         if lang == "en":
             return out.when(low.rlike("ly$"), "RB").when(before.isin("to", "will", "can", "must", "should", "would"), "VB").when(low.rlike("(?:ing|ed|ize|ise|ify|ate)$"), "VB").when(low.rlike("(?:ous|ful|ive|able|ible|less|al|ic)$"), "JJ").otherwise("NN")
         return out.when(low.rlike("ment$"), "RB").when(before.isin("je", "tu", "il", "elle", "on", "nous", "vous", "ils", "elles", "j'"), "VB").when(low.rlike("(?:er|ir|ez|ons|ent)$"), "VB").when(low.rlike("(?:eux|euse|ique|able|ible|if|ive|al|ale)$"), "JJ").otherwise("NN")
@@ -110,7 +115,10 @@ def pos(tokens: Column, lang: str) -> Column:
 
 
 def lemma(token: Column, tag: Column, lang: str) -> Column:
-    low = _lower(token)
+    return F.element_at(F.transform(F.array(_lower(token)), lambda low: _lemma(token, low, tag, lang)), 1)
+
+
+def _lemma(token: Column, low: Column, tag: Column, lang: str) -> Column:
     if lang == "ar":
         return ar_segments(ar_normal(token))["stem"]
     words = EN_IRREGULAR if lang == "en" else FR_IRREGULAR
@@ -171,12 +179,14 @@ def entities(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "nth").agg(F.substr(F.min_by("ner", "tok_index"), F.lit(3)).alias("type"), text.alias("text"), F.min("tok_index").alias("first"))
 
 
-def analysed(text: Column, lang: str) -> Column:
-    """Array of token, lemma, pos, ner of a text in ``lang`` (en, fr or ar)."""
+def analysed(text: Column, lang: str, lemmas: bool = True) -> Column:
+    """Array of token, lemma, pos, ner of a text in ``lang`` (en, fr or ar); without ``lemmas`` there is none."""
     tokens = {"en": en_tokens, "fr": fr_tokens, "ar": ar_tokens}[lang](text)
     tagged = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), pos(t, lang).alias("p")))  # so that the tokens are made once
-    rows = F.transform(tagged, lambda s: F.arrays_zip(s["t"].alias("token"), s["p"].alias("pos"), ner(s["t"], s["p"]).alias("ner")))
-    return F.transform(F.element_at(rows, 1), lambda x: F.struct(x["token"].alias("token"), lemma(x["token"], x["pos"], lang).alias("lemma"), x["pos"].alias("pos"), x["ner"].alias("ner")))
+    rows = F.element_at(F.transform(tagged, lambda s: F.arrays_zip(s["t"].alias("token"), s["p"].alias("pos"), ner(s["t"], s["p"]).alias("ner"))), 1)
+    if not lemmas:
+        return rows
+    return F.transform(rows, lambda x: F.struct(x["token"].alias("token"), lemma(x["token"], x["pos"], lang).alias("lemma"), x["pos"].alias("pos"), x["ner"].alias("ner")))
 
 
 def grammar_tokens(chunks: DataFrame, lang: Column) -> DataFrame:
