@@ -96,8 +96,7 @@ def top_words(spark, d):
 
 @query("informative_terms", f"WITH w AS (SELECT doc_id, unnest({PLAIN_WORDS}) AS t FROM documents) SELECT doc_id, count(*) FILTER ({INFORMATIVE}) AS informative, count(*) FILTER ({CANDIDATE}) AS candidates FROM w GROUP BY 1")
 def informative_terms(spark, d):
-    found = tx.plain_words(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", found.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size(F.filter("w", tx.is_informative)).alias("informative"), F.size(F.filter("w", tx.is_topic_candidate)).alias("candidates"))
+    return ranking.term_counts(table(spark, d, "documents"))
 
 
 @query("bigrams", f"""WITH w AS (SELECT doc_id, list_filter({PLAIN_WORDS}, lambda t: {INFORMATIVE}) AS l FROM documents), p AS (SELECT unnest(list_transform(list_zip(l[1:len(l) - 1], l[2:len(l)]), lambda z: z[1] || ' ' || z[2])) AS term FROM w WHERE len(l) > 1)
