@@ -64,8 +64,7 @@ def _links(t: Tables) -> Tables:
     terms = linking.sentence_terms(_numbered(t))
     keywords = t["keyword_hits"].select("doc_id", F.lower("keyword").alias("term")) if "keyword_hits" in t else t["topics"].select("doc_id", "term").limit(0)
     signals = linking.signal_terms(linking.topics_or_common(t["topics"], terms), keywords)
-    pairs = linking.signal_pairs(signals)
-    links = linking.numbered(linking.link_scores(pairs, linking.sentence_matches(pairs, terms, signals), signals))
+    links = linking.numbered(linking.all_links(signals, terms))
     return {"links": links, "link_examples": linking.topic_examples(links, t["topics"], _numbered(t), terms)}
 
 
