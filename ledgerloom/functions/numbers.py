@@ -47,7 +47,10 @@ def amount(raw: Column) -> Column:
     text = F.trim(F.regexp_replace(_ascii(raw), r"\s+", " "))
 
     def of(t: Column) -> Column:
-        hinted = table_normal(t).rlike("|".join(MONEY_HINTS))
+        # a plain number, as most cells are, needs none of the rules
+        return F.when(t.rlike(r"^[0-9]{1,15}(?:[.][0-9]{1,2})?$"), F.round(t.try_cast("decimal(24,6)"), 2).cast(MONEY)).otherwise(F.element_at(F.transform(F.array(table_normal(t).rlike("|".join(MONEY_HINTS))), lambda hinted: by_rules(t, hinted)), 1))
+
+    def by_rules(t: Column, hinted: Column) -> Column:
         coined = t.rlike(CURRENCY_WORD)
         unfit = is_code_like(t) | (t.rlike(_LETTER) & ~coined & ~hinted) | (t.rlike(_DATE) & ~hinted) | ((t.contains("/") | (F.regexp_count(t, F.lit("-")) >= 2)) & ~coined & ~hinted)
         bare = F.regexp_replace(t, r"(?i)\b(?:aed|chf|da|dzd|eur|gbp|ht|mad|sar|tnd|ttc|tva|usd)\b", " ")
@@ -64,7 +67,8 @@ def quantity(raw: Column) -> Column:
     text = F.trim(_ascii(raw))
     unfit = text.rlike(_LETTER) | text.contains("/") | text.rlike(_DATE) | (F.regexp_count(text, F.lit("-")) >= 2)
     bare = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.+\-]", "")
-    return F.when(~unfit & bare.rlike(r"^[+\-]?[0-9]+(?:\.[0-9]+)?$"), F.round(bare.try_cast("decimal(24,6)"), 3).cast("decimal(18,3)"))
+    rounded = lambda x: F.round(x.try_cast("decimal(24,6)"), 3).cast("decimal(18,3)")
+    return F.when(text.rlike("^[0-9]{1,15}$"), rounded(text)).when(~unfit & bare.rlike(r"^[+\-]?[0-9]+(?:\.[0-9]+)?$"), rounded(bare))
 
 
 def money(raw: Column) -> Column:

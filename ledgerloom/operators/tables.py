@@ -126,13 +126,16 @@ def line_items(lines: DataFrame) -> DataFrame:
         "table_index": F.count(F.when(opens, 1)).over(order),
     })
     inside = marked.filter(F.col("__open").isNotNull() & ~opens & ~blank & (F.coalesce("__shut", F.lit(-1)) < F.col("__open.line")) & (F.size("cells") == F.size("__open.header_roles")))
-    # the first column of each role
-    cell = lambda role: F.nullif(F.get("cells", F.array_position("__roles", F.lit(role)).cast("int") - 1), F.lit(""))
     named = inside.withColumn("__roles", F.transform("__open.header_roles", lambda r: F.coalesce(r, F.lit(""))))
-    out = named.select(
-        "doc_id", "page_index", "table_index", "line", cell("reference").alias("reference"), cell("product").alias("product"), nb.quantity(cell("quantity")).alias("quantity"),
-        *[nb.amount(cell(r)).alias(r) for r in ("unit_price", "total_ht", "total_ttc", "total")], F.col("cells").alias("raw_cells"),
-    ).filter("(reference IS NOT NULL OR product IS NOT NULL) AND quantity IS NOT NULL AND unit_price IS NOT NULL")
+    # the first column of each role; a cell that isn't there has no amount
+    cell = lambda role: F.nullif(F.get("cells", F.array_position("__roles", F.lit(role)).cast("int") - 1), F.lit(""))
+    read = lambda of, role: _once(cell(role), lambda c: F.when(c.isNotNull(), of(c)))
+    found = F.struct(
+        cell("reference").alias("reference"), cell("product").alias("product"), read(nb.quantity, "quantity").alias("quantity"), *[read(nb.amount, r).alias(r) for r in ("unit_price", "total_ht", "total_ttc", "total")],
+    )
+    complete = lambda r: (r["reference"].isNotNull() | r["product"].isNotNull()) & r["quantity"].isNotNull() & r["unit_price"].isNotNull()
+    # outer, because a filter above would have every cell read once more below it
+    out = named.select("doc_id", "page_index", "table_index", "line", F.inline_outer(F.filter(F.array(found), complete)), F.col("cells").alias("raw_cells")).filter("quantity IS NOT NULL")
     some = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0.0)
     total = F.when(F.coalesce("total_ht", "total", "total_ttc").isNotNull(), 0.2).otherwise(0.0)
     confidence = F.round(some("reference", 0.15) + some("product", 0.25) + some("quantity", 0.2) + some("unit_price", 0.2) + total, 2)
