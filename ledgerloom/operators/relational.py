@@ -54,7 +54,9 @@ def text_tables(sentences: DataFrame, words: Column, topics: DataFrame | None =
     rows = sentences.select(sentence.alias("sentence_id"), _id("page", "doc_id", "page_index").alias("page_id"), "doc_id", "page_index", "chunk", F.length("text").alias("char_count"), F.length(F.regexp_replace("text", r"\s", "")).alias("nonspace_count"))
     before = F.coalesce(F.sum(F.col("char_count") + 1).over(W.partitionBy("doc_id", "page_index").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = rows.select("sentence_id", "doc_id", "page_index", "chunk", before.alias("start")).join(rows.select("sentence_id", "char_count"), "sentence_id").select("sentence_id", "doc_id", "start", (F.col("start") + F.col("char_count")).alias("end"))
-    tokens = sentences.select(sentence.alias("sentence_id"), "doc_id", F.posexplode_outer(words).alias("tok_index", "token")).filter("tok_index IS NOT NULL").withColumn("token_id", _id("token", "sentence_id", "tok_index"))
+    # the id is made of a sentence, not of each of its words
+    cut = sentences.select(sentence.alias("sentence_id"), "doc_id", words.alias("__words"))
+    tokens = cut.select("sentence_id", "doc_id", F.posexplode_outer("__words").alias("tok_index", "token")).filter("tok_index IS NOT NULL").withColumn("token_id", _id("token", "sentence_id", "tok_index"))
     pages = rows.groupBy("page_id", "doc_id", "page_index").agg(F.count("*").alias("sentences"), F.sum("char_count").alias("chars"))
     out = {"pages": pages, "sentences": rows, "sentence_spans": spans, "tokens": tokens}
     if topics is not None:
