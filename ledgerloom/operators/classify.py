@@ -43,16 +43,18 @@ def padded_occurrences(padded: Column, keyword: Column) -> Column:
     return ((F.length(padded) - F.length(F.replace(padded, needle, F.lit("")))) / F.length(needle)).cast("int")
 
 
-def keyword_hits(pages: DataFrame, rules: Iterable[tuple] = RULES) -> DataFrame:
+def keyword_hits(pages: DataFrame, rules: Iterable[tuple] = RULES, shared: bool = False) -> DataFrame:
     """doc_id, page_index, doc_type, priority, bucket, keyword, n, score for every keyword that occurs.
 
-    The text is normalised and tokenised once a page; the rules are literals, so there is no join.
+    The text is normalised and tokenised once a page; the rules are literals, so there is no join. ``shared``: what a page has is moved by document, a row a page, so that several
+    results of the hits read the texts once.
     """
     rules = [(t, p, b, k) for t, p, b, k in rules]
     table = F.array(*[F.struct(F.lit(t).alias("doc_type"), F.lit(p).alias("priority"), F.lit(b).alias("bucket"), classifier_normal(F.lit(k)).alias("keyword"), F.lit(WEIGHTS[b]).alias("weight")) for t, p, b, k in rules])
     normal = pages.select("doc_id", "page_index", padded(classifier_normal(F.col("text"))).alias("__padded"))
     hit = lambda r: F.struct(*[r[c].alias(c) for c in ("doc_type", "priority", "bucket", "keyword", "weight")], padded_occurrences(F.col("__padded"), r["keyword"]).alias("n"))
     counted = normal.select("doc_id", "page_index", F.filter(F.transform(table, hit), lambda r: r["n"] > 0).alias("hits"))
+    counted = counted.repartition("doc_id") if shared else counted
     factor = F.when(F.col("page_index") == 1, FIRST_PAGE).otherwise(1.0)
     # outer, because below a plain generator the optimizer copies the whole expression into a filter
     found = counted.select("doc_id", "page_index", F.inline_outer("hits")).filter("n IS NOT NULL")
@@ -61,7 +63,12 @@ def keyword_hits(pages: DataFrame, rules: Iterable[tuple] = RULES) -> DataFrame:
 
 def scores(pages: DataFrame, rules: Iterable[tuple] = RULES) -> DataFrame:
     """doc_id, doc_type, priority, score summed over pages and keywords."""
-    return keyword_hits(pages, rules).groupBy("doc_id", "doc_type", "priority").agg(F.sum("score").alias("score"))
+    return scores_of(keyword_hits(pages, rules))
+
+
+def scores_of(hits: DataFrame) -> DataFrame:
+    """:func:`scores` of what :func:`keyword_hits` found."""
+    return hits.groupBy("doc_id", "doc_type", "priority").agg(F.sum("score").alias("score"))
 
 
 def with_confusion(scored: DataFrame, pages: DataFrame, confusions: dict[str, list[str]]) -> DataFrame:

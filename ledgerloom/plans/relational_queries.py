@@ -29,8 +29,8 @@ def rel_document_texts(spark, d):
 
 def _classified(spark, d):
     docs = table(spark, d, "documents")
-    hits = classify.keyword_hits(pages_of(docs))
-    scored = classify.scores(pages_of(docs))
+    hits = classify.keyword_hits(pages_of(docs), shared=True)
+    scored = classify.scores_of(hits)
     return relational.classification_tables(classify.ranked(docs, scored), classify.decisions(docs, scored), hits, {"ENGLISH_PROSE": ["LES", "UND"], "FRENCH_PROSE": ["THE"]})
 
 
